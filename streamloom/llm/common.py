@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +14,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word length of the shingles that the near-duplicate operators compare.
 SHINGLE = 5
@@ -57,6 +59,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only collected plans still held; Spark drops them on a driver GC."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _staged:
@@ -161,16 +169,99 @@ class Words:
         self.first = np.searchsorted(self.start, self.base)
         self.first[-1] = len(self.start)
 
-    def shingles(self, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of ``k`` words within a text, and where those of each text begin."""
+    def shingles(self, k: int = SHINGLE, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``k`` words within a text, and where those of each text begin.
+
+        With ``short``, a text of one to ``k - 1`` words has one: that of all its words.
+        """
         h, first = self.hashes, self.first
-        n = len(h) - k + 1
-        counts = np.maximum(np.diff(first) - k + 1, 0)
+        words = np.diff(first)
+        counts = np.maximum(words - k + 1, 0)
+        brief = np.flatnonzero((words > 0) & (words < k)) if short else np.zeros(0, np.int64)
+        counts[brief] = 1
         at = np.concatenate([[0], np.cumsum(counts)])
-        if n <= 0 or not at[-1]:
-            return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
-        rolled = h[:n].copy()
-        for i in range(1, k):
-            rolled = rolled * _MULT + h[i : n + i]
+        if not at[-1]:
+            return np.zeros(0, np.uint64), at
+        padded = np.concatenate([h, np.zeros(k, np.uint64)])
         keep = np.repeat(first[:-1] - at[:-1], counts) + np.arange(at[-1])
-        return mix(rolled[keep]), at
+        rolled = padded[: len(h)].copy()
+        for i in range(1, k):
+            rolled = rolled * _MULT + padded[i : len(h) + i]
+        out = rolled[keep]
+        for t in brief.tolist():
+            x = words[t : t + 1].astype(np.uint64)
+            for y in range(first[t], first[t + 1]):
+                x = mix(x * _MULT + h[y : y + 1])
+            out[at[t]] = x[0]
+        return mix(out), at
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Regroup batches sorted by their first ``keys`` integer columns: tables of whole groups, and the
+    rows where each begins, followed by the number of rows.  A group must fit in memory."""
+    rest: pa.Table | None = None
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), dtype=bool)
+        new[0] = True
+        for k in range(keys):
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        at = cuts(table)
+        rest = table.slice(at[-1])
+        if at[-1]:
+            yield table.slice(0, at[-1]).combine_chunks(), at
+    if rest is not None and len(rest):
+        yield rest.combine_chunks(), np.array([0, len(rest)])
+
+
+# ------------------------------------------------------------------ distinct texts and components
+
+
+def text_key(text: Column) -> list[Column]:
+    """A 128-bit key of a text as two longs; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal ``keys`` together and in order, for ``complete_groups``; groups must be small."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components of ``edges`` (a, b): v and the least vertex of its component, as label.
+
+    Each round points every vertex at its least neighbour, shortens the pointers, and contracts the
+    edges to what they point at; a round's tables are staged.  Only vertices with an edge are listed.
+    Hubs cost a partial aggregate and joins that adaptive execution can split; nothing is collected.
+    """
+    edges = stage(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    labels: DataFrame | None = None
+    for _ in range(rounds):
+        if edges.isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
+        up = stage(up, "pointers")
+        for _ in range(2):
+            top = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            up = up.join(top, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+        up = stage(up, "pointers")
+        to_a, to_b = (up.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
+        edges = stage(edges.join(to_a, "a").join(to_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        if labels is None:
+            labels = up.select("v", F.col("p").alias("label"))
+        else:
+            labels = stage(labels.join(up.select(F.col("v").alias("label"), "p"), "label", "left").select("v", F.coalesce("p", "label").alias("label")), "labels")
+    else:
+        raise RuntimeError("components did not settle")
+    return labels if labels is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, license_scan, quality, sentencepieces, sharding, token_files
+from . import common, decontamination, html_text, jaccard_join, license_scan, quality, sentencepieces, sharding, substrings, token_files, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,8 +52,47 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(manifest, folder)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: doc_id, item_id and the tiles that show it."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find(documents(spark, sf_dir), items)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that has seen no label of the held-out rows."""
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    model = toxicity.train(*toxicity.sample(docs, labels))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_quality_rules, op4_sentencepiece, op7_token_files)}
+    every = (
+        op1_sharding,
+        op2_license_scan,
+        op3_quality_rules,
+        op4_sentencepiece,
+        op5_decontamination,
+        op6_html_text,
+        op7_token_files,
+        op8_jaccard_join,
+        op9_substrings,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

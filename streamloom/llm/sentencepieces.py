@@ -210,9 +210,13 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: t
                 decoded = [own.decode_known(t, x) for t, x in zip(texts, lines, strict=True)]
                 if end_id is not None:
                     lines = [f"{x} {end_id}" if x else str(end_id) for x in lines]
-                made = [pa.array([[int(i) for i in x.split()] for x in lines], pa.list_(pa.int32()))] if with_ids else []
+                counts = [x.count(" ") + 1 if x else 0 for x in lines]
+                made = []
+                if with_ids:
+                    flat = np.fromstring(" ".join(x for x in lines if x), dtype=np.int32, sep=" ")
+                    made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32())))
                 made += [
-                    pa.array([x.count(" ") + 1 if x else 0 for x in lines], pa.int64()),
+                    pa.array(counts, pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lines]),
                     pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded]),
                 ]
