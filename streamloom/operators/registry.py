@@ -149,7 +149,7 @@ def avro_missing(text: str, payload: Column) -> Column:
     return F.array_except(wanted, F.coalesce(F.json_object_keys(payload.cast("string")), F.array().cast("array<string>")))
 
 
-_FIELD = re.compile(r"^\s*(?:repeated\s+|optional\s+|required\s+)?([A-Za-z_][\w.<>, ]*?)\s+(\w+)\s*=\s*(\d+)", re.M)
+_FIELD = re.compile(r"(?:^|[{;])\s*(?:repeated\s+|optional\s+|required\s+)?([A-Za-z_][\w.<>, ]*?)\s+(\w+)\s*=\s*(\d+)", re.M)
 
 
 def protobuf_fields(text: str) -> dict[int, tuple[str, str]]:
@@ -183,7 +183,8 @@ def wire_fields(data: bytes) -> set[int] | None:
             if kind == 0:
                 varint()
             else:
-                at += {1: 8, 5: 4}.get(kind) or varint()
+                size = {1: 8, 5: 4}.get(kind) or varint()
+                at += size
             if at > len(data):
                 return None
             found.add(tag >> 3)
