@@ -5,8 +5,9 @@
    random (1 / threshold of them on average) and deals its members out by their value there.  A pair of
    similarity s goes the same way with probability s, so pairs at the threshold are expected to stay
    together at every level while others part.  Small nodes are compared by brute force on signatures,
-   large ones are split again; a node that is still large after ``depth`` levels holds members that agree
-   nearly everywhere and is taken as it is.
+   large ones are split again.  A large node that kept at least the threshold's share of its parent's
+   members, or is still large after ``depth`` levels, holds members that agree nearly everywhere and is
+   taken as it is: all its members may be similar.
 3. Members that may be similar are chained into clusters.  Every pair within a cluster is verified on the
    full shingle sets: clusters are cut into blocks and each pair of blocks is a matrix product, so neither
    a task nor an output ever holds all pairs of a large group.
@@ -110,19 +111,21 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, runs: int =
     spark = reps.sparkSession
     roots = common.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-    def deal(rid: np.ndarray, path: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+    def deal(rid: np.ndarray, path: np.ndarray, size: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+        """Rows of the children, each with the size of the node it comes from."""
         rows, paths = children(path, signature, threshold)
-        return pa.RecordBatch.from_pydict({"rid": pa.array(rid[rows], pa.int64()), "path": pa.array(paths.view(np.int64), pa.int64())})
+        return pa.RecordBatch.from_pydict({"rid": pa.array(rid[rows], pa.int64()), "path": pa.array(paths.view(np.int64), pa.int64()), "parent": pa.array(size[rows], pa.int64())})
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, signature = batch.column(0).to_numpy(), _matrix(batch.column(1), COORDINATES)
             for root in roots:
-                yield deal(rid, np.full(len(rid), root), signature)
+                yield deal(rid, np.full(len(rid), root), np.full(len(rid), 2**62), signature)
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield deal(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), _matrix(batch.column(2), COORDINATES))
+            rid, path, size = (batch.column(k).to_numpy() for k in range(3))
+            yield deal(rid, path.view(np.uint64), size, _matrix(batch.column(3), COORDINATES))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = int(np.ceil(CANDIDATE * COORDINATES))
@@ -141,24 +144,26 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, runs: int =
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
 
     slim = reps.select("rid", "signature")
-    members = common.stage(slim.mapInArrow(first, "rid long, path long"), "nodes")
+    dealt = "rid long, path long, parent long"
+    members = common.stage(slim.mapInArrow(first, dealt), "nodes")
     found = []
     for level in range(1, depth + 1):
-        nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x")).where("n > 1")
+        nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.max("parent").alias("parent")).where("n > 1")
         # nodes with the same members, as most small ones are in several trees, are compared once
-        nodes = common.stage(nodes.groupBy("n", "x").agg(F.min("path").alias("path")), "nodes")
+        nodes = common.stage(nodes.groupBy("n", "x").agg(F.min(F.struct("path", "parent")).alias("best")).select("n", "best.path", "best.parent"), "nodes")
         small = members.join(nodes.where(F.col("n") <= LEAF).select("path"), "path").select("path", "rid")
         small = common.spread(small.join(slim, "rid").select("path", "rid", "signature"), "path")
         found.append(common.stage(small.mapInArrow(leaves, "a long, b long"), "candidates"))
-        large = nodes.where(F.col("n") > LEAF).select("path")
+        large = nodes.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        members = members.join(large, "path").select("rid", "path")
-        if level == depth:
-            least = members.groupBy("path").agg(F.min("rid").alias("b"))
-            found.append(members.join(least, "path").select(F.col("rid").alias("a"), "b").where("a <> b"))
-        else:
-            members = common.stage(members.join(slim, "rid").select("rid", "path", "signature").mapInArrow(further, "rid long, path long"), "nodes")
+        alike = F.col("n") >= threshold * F.col("parent") if level < depth else F.lit(True)
+        held = members.select("rid", "path").join(large.select("path", "n", alike.alias("alike")), "path")
+        same = held.where("alike")
+        least = same.groupBy("path").agg(F.min("rid").alias("b"))
+        found.append(same.join(least, "path").select(F.col("rid").alias("a"), "b").where("a <> b"))
+        if level < depth:
+            members = common.stage(held.where("not alike").join(slim, "rid").select("rid", "path", "n", "signature").mapInArrow(further, dealt), "nodes")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
