@@ -2,13 +2,14 @@
 
 The encoder keeps, for every distinct segment of a batch, an agenda of its adjacent symbol pairs
 scored by the piece they would merge into, and merges the best (leftmost on ties) until none is left.
-All segments of a batch advance together as rows of numpy matrices.  The library then encodes the same
+Short segments of a batch advance together as rows of numpy matrices; a long one has a heap of its own.  The library then encodes the same
 segments as a check; should a segment ever differ, the library's ids are used and counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from . import common
 SPACE = "▁"
 #: Distinct segments that a Python worker remembers; the cache starts anew beyond that.
 CACHE = 1_000_000
+#: Symbols of a segment from which on the agenda is a heap; a row of a matrix is scanned at each merge.
+LONG = 64
 _NONE = np.int32(2**31 - 1)
 _SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 _workers: dict[int, Codec] = {}
@@ -52,6 +55,8 @@ class Codec:
         order = np.array(sorted(pairs), dtype=np.int64)
         self.pairs = np.append(order, np.int64(2**62))
         self.merged = np.append(np.array([pairs[int(k)] for k in order], dtype=np.int32), np.int32(-1))
+        self.pair: dict[int, int] = {}
+        self.ranks = self.rank.tolist()
         self.names = [str(i) for i in range(n)]
         self.cache: dict[str, str] = {}
         #: Segments whose ids do not spell them; merges alone never cause that.
@@ -70,7 +75,10 @@ class Codec:
         out: list[list[int]] = [[]] * len(segments)
         lengths = np.array([len(s) for s in segments])
         order = np.argsort(lengths, kind="stable")
-        at = int(np.searchsorted(lengths[order], 1))
+        at, end = (int(x) for x in np.searchsorted(lengths[order], [1, LONG]))
+        for i in order[end:].tolist():
+            out[i] = self._heap(segments[i])
+        order = order[:end]
         while at < len(order):
             most = max(1, 500_000 // int(lengths[order[at]]))
             width = int(lengths[order[min(len(order), at + most) - 1]])
@@ -79,6 +87,44 @@ class Codec:
             self._merge(segments, rows, lengths, out)
         return out
 
+    def _heap(self, segment: str) -> list[int]:
+        """The agenda of one segment as a heap over a linked list of symbols; outdated entries are passed over."""
+        if not self.pair:
+            self.pair.update(zip(self.pairs.tolist(), self.merged.tolist(), strict=True))
+        points = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        known = self.symbols[points]
+        sym = np.where(known >= 0, known, -2 - points.astype(np.int32)).tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            a, b = sym[i], sym[j]
+            if a >= 0 and b >= 0 and (to := self.pair.get((a << 32) | b)) is not None:
+                heapq.heappush(heap, (self.ranks[to], i, a, b))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        gone = [False] * n
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if gone[i] or j >= n or sym[i] != a or sym[j] != b:
+                continue
+            sym[i] = self.pair[(a << 32) | b]
+            gone[j] = True
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return self._bytes([x for x, dead in zip(sym, gone, strict=True) if not dead])
+
+    def _bytes(self, ids: list[int]) -> list[int]:
+        """Unknown characters as the ids of their bytes."""
+        return [y for x in ids for y in ([x] if x >= 0 else [self.bytes[bytes([b])] for b in chr(-2 - x).encode("utf-8", "surrogatepass")])]
+
     def _merge(self, segments: list[str], rows: np.ndarray, lengths: np.ndarray, out: list[list[int]]) -> None:
         width = int(lengths[rows].max())
         points = np.frombuffer("".join(segments[i] for i in rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -120,7 +166,7 @@ class Codec:
         for name, end in zip(names.tolist(), ends, strict=True):
             ids = flat[at:end]
             if unknown and min(ids) < 0:
-                ids = [y for x in ids for y in ([x] if x >= 0 else [self.bytes[bytes([b])] for b in chr(-2 - x).encode("utf-8", "surrogatepass")])]
+                ids = self._bytes(ids)
             out[name] = ids
             at = end
 
