@@ -32,7 +32,7 @@ LEAF = 96
 #: Share of agreeing coordinates that makes a candidate: over four deviations under the threshold.
 CANDIDATE = 0.5625
 #: Representatives in a block of a large cluster, and the most blocks unless they would outgrow memory.
-BLOCK, BLOCKS, BLOCK_MOST = 128, 64, 20_000
+BLOCK, BLOCKS, BLOCK_MOST = 64, 64, 20_000
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -314,9 +314,10 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", thres
     found = common.stage(classes(df, text, doc_id, threshold), "classes")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "k1", "k2")
     kept = found.groupBy("class_key").agg(F.min(order).alias("best")).select("best.id", F.col("best.k1").alias("q1"), F.col("best.k2").alias("q2"))
-    rows = df.select("*", *common.text_key(df[text]))
-    on = rows[doc_id].eqNullSafe(kept.id) & (rows.k1 == kept.q1) & (rows.k2 == kept.q2)
+    first, second = common.text_key(df[text])
+    rows = df.select("*", first.alias("_k1"), second.alias("_k2"))
+    on = rows[doc_id].eqNullSafe(kept.id) & (rows["_k1"] == kept.q1) & (rows["_k2"] == kept.q2)
     out = rows.join(kept, on, "left_semi")
     if not found.groupBy(doc_id, "k1", "k2").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([doc_id, "k1", "k2"])  # the same row given more than once
+        out = out.dropDuplicates([doc_id, "_k1", "_k2"])  # the same row given more than once
     return out.select(*df.columns)
