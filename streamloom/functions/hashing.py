@@ -1,8 +1,9 @@
-"""Hashes and identifiers as columns, computed in the JVM."""
+"""Hashes and identifiers as columns."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Fixed values of murmur3 (x86, 32 bits).
 C1, C2, FIVE, ADD = 0xCC9E2D51, 0x1B873593, 5, 0xE6546B64
 MIX1, MIX2 = 0x85EBCA6B, 0xC2B2AE35
@@ -21,44 +24,89 @@ def whole(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it (lambda bodies share nothing else)."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _mul(x: Column, by: int) -> Column:
     """x * by modulo 2**32, in halves: a full product would overflow a signed long."""
     high, low = by >> 16, by & 0xFFFF
-    return (F.shiftleft((x * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16) + x * F.lit(low)).bitwiseAND(F.lit(MASK))
+    return _let(x, lambda v: (F.shiftleft((v * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16) + v * F.lit(low)).bitwiseAND(F.lit(MASK)))
 
 
 def _rotl(x: Column, by: int) -> Column:
-    return (F.shiftleft(x, by).bitwiseOR(F.shiftright(x, 32 - by))).bitwiseAND(F.lit(MASK))
+    return _let(x, lambda v: (F.shiftleft(v, by).bitwiseOR(F.shiftright(v, 32 - by))).bitwiseAND(F.lit(MASK)))
 
 
 def _little_endian(digits: Column) -> Column:
     """The value of up to eight hex digits read as little-endian bytes."""
-    padded = F.rpad(digits, 8, "0")
-    swapped = F.concat(*[F.substring(padded, at, 2) for at in (7, 5, 3, 1)])
-    return F.conv(swapped, 16, 10).cast("long")
 
+    def swap(p: Column) -> Column:
+        return F.concat(*[F.substring(p, at, 2) for at in (7, 5, 3, 1)])
 
-def murmur3(key: Column) -> Column:
-    """murmur3_x86_32 of a string's UTF-8 bytes with seed 0, as a long from 0 to 2**32 - 1."""
-    digits = F.hex(F.encode(key, "UTF-8"))
+    return F.conv(_let(F.rpad(digits, 8, "0"), swap), 16, 10).cast("long")
+
+
+def murmur3_expression(key: Column) -> Column:
+    """``murmur3`` without Python: built-in functions only, many times slower as lambdas are interpreted."""
     size = F.octet_length(key).cast("long")
-    blocks = F.floor(size / 4).cast("int")
-    numbers = F.filter(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), lambda i: i < blocks)
 
     def scramble(block: Column) -> Column:
         return _mul(_rotl(_mul(block, C1), 15), C2)
 
-    def step(h: Column, i: Column) -> Column:
-        mixed = _rotl(h.bitwiseXOR(scramble(_little_endian(F.substr(digits, i * 8 + 1, F.lit(8))))), 13)
-        return (mixed * FIVE + F.lit(ADD)).bitwiseAND(F.lit(MASK))
+    def hashed(digits: Column) -> Column:
+        blocks = F.floor(size / 4).cast("int")
+        numbers = F.filter(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), lambda i: i < blocks)
+
+        def step(h: Column, i: Column) -> Column:
+            mixed = _rotl(h.bitwiseXOR(scramble(_little_endian(F.substr(digits, i * 8 + 1, F.lit(8))))), 13)
+            return (mixed * FIVE + F.lit(ADD)).bitwiseAND(F.lit(MASK))
+
+        body = F.aggregate(numbers, F.lit(0).cast("long"), step)
+        tail = F.when(size % 4 > 0, scramble(_little_endian(F.substr(digits, blocks * 8 + 1, F.lit(8))))).otherwise(F.lit(0).cast("long"))
+        return body.bitwiseXOR(tail).bitwiseXOR(size)
+
+    h = _let(F.hex(F.encode(key, "UTF-8")), hashed)
+    h = _mul(_let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 16))), MIX1)
+    h = _mul(_let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 13))), MIX2)
+    return _let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 16)))
+
+
+def _murmur3_matrix(data: np.ndarray) -> np.ndarray:
+    """Hashes of equally long keys, a row of bytes each."""
+    rows, n = data.shape
+    padded = np.zeros((rows, -(-n // 4) * 4), np.uint8)
+    padded[:, :n] = data
+    blocks = padded.view("<u4")
+    rot = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.zeros(rows, np.uint32)
+    for j in range(blocks.shape[1]):
+        h ^= rot(blocks[:, j] * np.uint32(C1), 15) * np.uint32(C2)
+        if 4 * j + 4 <= n:
+            h = rot(h, 13) * np.uint32(FIVE) + np.uint32(ADD)
+    h ^= np.uint32(n)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(MIX1)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(MIX2)
+    return h ^ (h >> np.uint32(16))
 
-    body = F.aggregate(numbers, F.lit(0).cast("long"), step)
-    tail = F.substr(digits, blocks * 8 + 1, F.lit(8))
-    h = body.bitwiseXOR(F.when(size % 4 > 0, scramble(_little_endian(tail))).otherwise(F.lit(0).cast("long"))).bitwiseXOR(size)
-    # one step after the other over a single-element array: each step's input is computed once
-    final = F.transform(F.array(h), lambda x: _mul(x.bitwiseXOR(F.shiftright(x, 16)), MIX1))
-    final = F.transform(final, lambda x: _mul(x.bitwiseXOR(F.shiftright(x, 13)), MIX2))
-    return F.transform(final, lambda x: x.bitwiseXOR(F.shiftright(x, 16)))[0]
+
+@F.pandas_udf(T.LongType())
+def _murmur3(keys: pd.Series) -> pd.Series:
+    """All keys of a length at once."""
+    raw = [None if k is None else k.encode() for k in keys]
+    sizes = np.array([-1 if x is None else len(x) for x in raw])
+    out = np.zeros(len(raw), dtype=np.int64)
+    for n in np.unique(sizes[sizes >= 0]):
+        at = np.flatnonzero(sizes == n)
+        out[at] = _murmur3_matrix(np.frombuffer(b"".join([raw[i] for i in at]), np.uint8).reshape(len(at), n))
+    return pd.Series(out, dtype="Int64").where(sizes >= 0)
+
+
+def murmur3(key: Column) -> Column:
+    """murmur3_x86_32 of a string's UTF-8 bytes with seed 0, as a long from 0 to 2**32 - 1 (Arrow batches)."""
+    ship()
+    return _murmur3(key)
 
 
 def murmur3_int(key: bytes) -> int:
@@ -95,8 +143,7 @@ def _crc32c_table() -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def crc32c(data: pd.Series) -> pd.Series:
-    """CRC-32 with the Castagnoli polynomial of binary values (Arrow batches)."""
+def _crc32c(data: pd.Series) -> pd.Series:
     table = _crc32c_table()
 
     def one(x: bytes | None) -> int | None:
@@ -110,6 +157,12 @@ def crc32c(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
+def crc32c(data: Column) -> Column:
+    """CRC-32 with the Castagnoli polynomial of binary values (Arrow batches)."""
+    ship()
+    return _crc32c(data)
+
+
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """Bits (a multiple of 64) and hash functions of a Bloom filter for n keys at false rate p."""
     bits = max(64, int(-n * math.log(p) / math.log(2) ** 2))

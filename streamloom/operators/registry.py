@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import fingerprint
+from ..session import ship
 
 JSON, AVRO, PROTOBUF = "json", "avro", "protobuf"
 NONE, BACKWARD, FORWARD, FULL = "none", "backward", "forward", "full"
@@ -88,6 +89,8 @@ def _is(kind: str, value) -> bool:
 
 
 def _batched(check: Callable[[bytes | str], list[str]]):
+    ship()
+
     def run(payloads: pd.Series) -> pd.Series:
         return payloads.map(lambda x: check(x) if x is not None else ["no payload"])
 

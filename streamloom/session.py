@@ -26,8 +26,11 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession | None = None) -> None:
     """Give the executors this package, wherever the driver found it."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

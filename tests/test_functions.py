@@ -17,8 +17,9 @@ def test_murmur3_vectors(spark):
     assert [hashing.murmur3_int(str(i).encode()) % 8 for i in range(6)] == [7, 3, 7, 4, 0, 4]
     texts = [*VECTORS, "é", "日本語", "a", "ab", "abc", "abcd", "x" * 37]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r.t: r.h for r in df.select("t", hashing.murmur3(F.col("t")).alias("h")).collect()}
-    assert got == {t: hashing.murmur3_int(t.encode()) for t in texts}
+    want = {t: hashing.murmur3_int(t.encode()) for t in texts}
+    for f in (hashing.murmur3, hashing.murmur3_expression):
+        assert {r.t: r.h for r in df.select("t", f(F.col("t")).alias("h")).collect()} == want
 
 
 def test_crc32c_and_fingerprint(spark):
