@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,13 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship as ship
+
 #: Word length of the shingles that the near-duplicate operators compare.
 SHINGLE = 5
 #: UTF-8 bytes hashed in one numpy call; bounds the working set of a Python worker.
 SLICE_BYTES = 2_000_000
 
 _staged: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 # ------------------------------------------------------------------ driver side
@@ -76,20 +75,6 @@ def _sweep() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, wherever the driver found it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="streamloom-"), "streamloom-code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +112,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     def starts(phrase: str) -> Column:
         parts = phrase.split(" ")
         places = F.sequence(F.lit(0), F.size("_w") - 1)
-        found = F.filter(places, lambda i: math_all([F.get("_w", i + k) == p for k, p in enumerate(parts)]))
+        found = F.filter(places, lambda i: _all([F.get("_w", i + k) == p for k, p in enumerate(parts)]))
         return F.when(F.contains("_padded", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
     names = list(phrases)
@@ -158,7 +156,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     )
 
 
-def math_all(conditions: list[Column]) -> Column:
+def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
         out = out & c
