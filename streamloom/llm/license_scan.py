@@ -57,23 +57,16 @@ def containment_join(blocks: DataFrame, templates: DataFrame, frequency: DataFra
     ``need`` is out (length filter), and so is one where too few words follow the match on either side
     (positional filter).  What is left is counted exactly.  Gives id, template, label, overlap, n.
     """
-    place = F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), F.col("token"))
-    ordered = (
-        templates.select("template", "label", "need", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-        .join(F.broadcast(frequency), "token", "left")
-        .groupBy("template", "label", "need", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["token"]).alias("t_tokens"))
-    )
+    known = [x for r in frequency.collect() for x in (F.lit(r["token"]), F.lit(r["df"]))]  # template words only
+    ranks = F.create_map(*known).cast("map<string,bigint>")
+
+    def by_frequency(tokens: str) -> Column:
+        placed = F.transform(tokens, lambda t: F.struct(F.coalesce(F.element_at(ranks, t), F.lit(0).cast("long")).alias("df"), t.alias("token")))
+        return F.transform(F.array_sort(placed), lambda x: x["token"])
+
+    ordered = templates.select("template", "label", "need", F.size("tokens").alias("n"), by_frequency("tokens").alias("t_tokens"))
     prefix = ordered.select("*", F.posexplode(F.slice("t_tokens", 1, F.expr("n - need + 1"))).alias("t_at", "token"))
-    ranks = F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)))))
-    rank = frequency.agg(ranks.alias("ranks"))  # one entry for each template word
-    sorted_blocks = blocks.crossJoin(F.broadcast(rank)).select(
-        "id",
-        F.transform(
-            F.array_sort(F.transform("tokens", lambda t: F.struct(F.coalesce(F.element_at("ranks", t), F.lit(0)).alias("df"), t.alias("token")))),
-            lambda x: x["token"],
-        ).alias("b_tokens"),
-    )
+    sorted_blocks = blocks.select("id", by_frequency("tokens").alias("b_tokens"))
     seeds = sorted_blocks.select("id", "b_tokens", F.size("b_tokens").alias("m"), F.posexplode("b_tokens").alias("b_at", "token"))
     hits = seeds.join(F.broadcast(prefix), "token").where(
         (F.col("m") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("t_at") - 1, F.col("m") - F.col("b_at") - 1) >= F.col("need"))
