@@ -32,7 +32,7 @@ LEAF = 96
 #: Share of agreeing coordinates that makes a candidate: over four deviations under the threshold.
 CANDIDATE = 0.5625
 #: Representatives in a block of a large cluster, and the most blocks unless they would outgrow memory.
-BLOCK, BLOCKS, BLOCK_MOST = 64, 64, 20_000
+BLOCK, BLOCKS, BLOCK_MOST = 192, 64, 20_000
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
