@@ -149,16 +149,18 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, runs: int =
     found = []
     for level in range(1, depth + 1):
         nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.max("parent").alias("parent")).where("n > 1")
-        # nodes with the same members, as most small ones are in several trees, are compared once
-        nodes = common.stage(nodes.groupBy("n", "x").agg(F.min(F.struct("path", "parent")).alias("best")).select("n", "best.path", "best.parent"), "nodes")
+        # nodes with the same members, as most small ones are in several trees, are compared or chained once;
+        # those that are split again keep all their paths: each is an independent try
+        alike = (F.col("n") > LEAF) & ((F.col("n") >= threshold * F.col("parent")) | F.lit(level == depth))
+        nodes = nodes.withColumn("alike", alike).withColumn("own", F.when((F.col("n") > LEAF) & ~F.col("alike"), F.col("path")))
+        nodes = common.stage(nodes.groupBy("n", "x", "alike", "own").agg(F.min("path").alias("path")).select("n", "path", "alike"), "nodes")
         small = members.join(nodes.where(F.col("n") <= LEAF).select("path"), "path").select("path", "rid")
         small = common.spread(small.join(slim, "rid").select("path", "rid", "signature"), "path")
         found.append(common.stage(small.mapInArrow(leaves, "a long, b long"), "candidates"))
         large = nodes.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        alike = F.col("n") >= threshold * F.col("parent") if level < depth else F.lit(True)
-        held = members.select("rid", "path").join(large.select("path", "n", alike.alias("alike")), "path")
+        held = members.select("rid", "path").join(large, "path")
         same = held.where("alike")
         least = same.groupBy("path").agg(F.min("rid").alias("b"))
         found.append(same.join(least, "path").select(F.col("rid").alias("a"), "b").where("a <> b"))

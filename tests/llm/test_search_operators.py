@@ -194,6 +194,17 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert got == plain_classes(pairs)
 
 
+def test_large_groups_of_equal_shingles(spark):
+    # one text each with other marks between the words: equal sets, and more of them than a leaf holds
+    rng, n, groups = random.Random(16), jaccard_join.LEAF + 1, 16
+    texts = []
+    for _ in range(groups):
+        w = words(rng, 12).split()
+        texts += ["".join(x + (", " if k >> i & 1 else " ") for i, x in enumerate(w)) for k in range(n)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(1 + i, 1 + i // n * n, n - 1) for i in range(n * groups)}
+
+
 def test_join_on_test_data(spark, sf, docs):
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in queries.op8_jaccard_join(spark, sf).collect()), key=repr)
