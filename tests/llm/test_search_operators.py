@@ -261,6 +261,26 @@ def test_passages(spark):
     assert cut[2].text.split() == t[1].split()[:20] and cut[2].n_chars == len(cut[2].text)
 
 
+def shingled(*texts):
+    values, at = common.Words(pa.array(texts)).shingles()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_passages_of_repeated_lines():
+    rng = random.Random(5)
+    line = words(rng, 20)
+    for times in (3, 5, 8):
+        copy = " ".join([line] * times)
+        first, later = shingled(f"{words(rng, 70)} {copy} {words(rng, 40)}", f"{words(rng, 30)} {copy} {words(rng, 30)}")
+        found = substrings.passages(first, later, 46, 0.8)
+        assert [(l, r) for l, r, *_ in found] == [(30, 30 + 20 * times - 5)]
+    # more than half of the passage stands further up as well
+    copy = words(rng, 64)
+    quoted = " ".join(copy.split()[:40])
+    first, later = shingled(f"{quoted} {words(rng, 300)} {copy}", f"{words(rng, 30)} {copy}")
+    assert substrings.passages(first, later, 46, 0.8) == [(30, 89, 340, 399, 1.0)]
+
+
 def test_repeats_in_test_data(spark, sf, docs):
     """Every document with 50 words in a row that an earlier one has is found, and the others repeat much."""
     texts = {r.doc_id: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower()) for r in docs.collect()}
