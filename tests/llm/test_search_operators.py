@@ -281,6 +281,14 @@ def test_passages_of_repeated_lines():
     assert substrings.passages(first, later, 46, 0.8) == [(30, 89, 340, 399, 1.0)]
 
 
+def test_passages_with_an_insertion():
+    rng = random.Random(8)
+    copy = words(rng, 98).split()
+    mended = " ".join([*copy[:49], words(rng, 8), *copy[49:]])
+    first, later = shingled(f"{words(rng, 60)} {' '.join(copy)} {words(rng, 60)}", f"{words(rng, 30)} {mended} {words(rng, 30)}")
+    assert substrings.passages(first, later, 46, 0.8) == [(30, 131, 60, 153, 90 / 106)]
+
+
 def test_repeats_in_test_data(spark, sf, docs):
     """Every document with 50 words in a row that an earlier one has is found, and the others repeat much."""
     texts = {r.doc_id: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower()) for r in docs.collect()}
