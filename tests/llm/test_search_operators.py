@@ -289,6 +289,24 @@ def test_passages_with_an_insertion():
     assert substrings.passages(first, later, 46, 0.8) == [(30, 131, 60, 153, 90 / 106)]
 
 
+def test_candidates_of_near_copies_at_the_limit():
+    # 50 words, one of them changed: Jaccard 41/51
+    rng, pairs = random.Random(21), []
+    for _ in range(600):
+        copy = words(rng, 50).split()
+        pairs.append((f"{words(rng, 30)} {' '.join(copy)} {words(rng, 30)}", f"{words(rng, 20)} {' '.join([*copy[:25], words(rng, 1), *copy[26:]])} {words(rng, 40)}"))
+    values, at = common.Words(pa.array([t for p in pairs for t in p])).shingles()
+    agreed = np.zeros(len(pairs), int)
+    for k in range(substrings.HASHES):
+        text, _, centre, _ = substrings.compact_windows(values, at, 46, k)
+        held = [set() for _ in at[1:]]
+        for t, v in zip(text.tolist(), values[at[text] + centre].tolist(), strict=True):
+            held[t].add(v)
+        agreed += [bool(a & b) for a, b in zip(held[::2], held[1::2], strict=True)]
+    assert all(substrings.passages(*shingled(*p), 46, 0.8) for p in pairs)
+    assert (agreed >= substrings.AGREE).mean() >= 0.995
+
+
 def test_repeats_in_test_data(spark, sf, docs):
     """Every document with 50 words in a row that an earlier one has is found, and the others repeat much."""
     texts = {r.doc_id: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower()) for r in docs.collect()}
