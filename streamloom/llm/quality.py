@@ -24,15 +24,26 @@ class Bands:
     """Limits of size / compressed size.
 
     ``whole``: (up to so many bytes, least ratio, greatest ratio) by rising length; short texts
-    compress little whatever they say, so their upper limits are wide and their lower limits low.
+    compress little whatever they say, so their upper limits are wide and their lower limits low.  Lower
+    limits lie between the greatest ratio of base64 and the least of clean prose of that length.
     ``chunk``: the same for each chunk of ``chunk_bytes``; a document fails if more than ``chunk_share``
     of its chunks do.  A last chunk under a quarter of ``chunk_bytes`` joins the one before.
     """
 
-    whole: tuple[tuple[float, float, float], ...] = ((128, 0.0, 2.0), (512, 0.9, 2.4), (2048, 1.15, 2.6), (16384, 1.3, 2.8), (float("inf"), 1.4, 3.2))
-    chunk: tuple[float, float] = (1.25, 2.35)
+    whole: tuple[tuple[float, float, float], ...] = (
+        (128, 0.0, 2.0),
+        (192, 1.05, 2.4),
+        (256, 1.12, 2.4),
+        (512, 1.25, 2.4),
+        (1024, 1.35, 2.6),
+        (2048, 1.45, 2.6),
+        (4096, 1.55, 2.8),
+        (16384, 1.65, 2.8),
+        (float("inf"), 1.65, 3.2),
+    )
+    chunk: tuple[float, float] = (1.6, 2.35)
     chunk_bytes: int = 4096
-    chunk_share: float = 0.5
+    chunk_share: float = 0.2
     level: int = 1
 
 

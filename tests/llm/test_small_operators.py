@@ -154,6 +154,22 @@ def test_bands():
         assert not quality.in_bands(len(raw), *quality.ratios(raw, bands, c), bands)
 
 
+def test_base64_is_outside_the_bands(docs):
+    import base64
+
+    import zstandard
+
+    bands, c = quality.Bands(), zstandard.ZstdCompressor(level=1)
+    rng = random.Random(2)
+    kept = lambda raw: quality.in_bands(len(raw), *quality.ratios(raw, bands, c), bands)
+    for n in (180, 250, 500, 760, 1000, 1500, 2048, 4096, 8192, 16384, 40_000):
+        raw = rng.randbytes(n)
+        assert not kept(base64.encodebytes(raw)[:n]) and not kept(base64.b64encode(raw)[:n])
+    # a long text whose chunks are base64 to a third
+    prose = max((r.text for r in docs.where("n_chars > 12000 and lang = 'en'").collect() if kept(r.text.encode())), key=len).encode()
+    assert not kept(prose + b"\n" + base64.encodebytes(rng.randbytes(len(prose) // 2))[: len(prose) // 2])
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
