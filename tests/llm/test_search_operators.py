@@ -324,6 +324,50 @@ def test_repeats_in_test_data(spark, sf, docs):
             assert len(a) >= 50 and len(x & y) / len(x | y) >= 0.8 - 1e-9
 
 
+def test_recall_of_near_passages(spark):
+    """Families of near passages (some under the limit, some at it, some verbatim) against all pairs by brute force."""
+    rng, texts = random.Random(33), []
+    boiler = [words(rng, 22) for _ in range(3)]
+    for _ in range(25):
+        base = words(rng, rng.choice([52, 60, 90])).split()
+        for edits in (0, 1, 1, 2, 3, 3, 4):
+            x = list(base)
+            for _ in range(edits):
+                x[rng.randrange(len(x))] = words(rng, 1)
+            copy = " ".join(x)
+            texts.append(f"{words(rng, rng.randrange(60))} {rng.choice(boiler)} {copy} {rng.choice(boiler)} {words(rng, rng.randrange(60))}")
+    rng.shuffle(texts)
+    own = shingled(*texts)
+    want = {j: [i for i in range(j) if np.intersect1d(own[i], own[j]).size >= 20 and substrings.passages(own[i], own[j], 46, 0.8)] for j in range(len(texts))}
+    want = {j: set(x) for j, x in want.items() if x}
+    found = [(r.doc_id - 1, r.kept_id - 1) for r in substrings.find(spark.createDataFrame(rows(*texts), SCHEMA)).collect()]
+    assert all(i in want[j] for j, i in found)
+    assert len({j for j, _ in found}) >= 0.95 * len(want)
+
+
+def test_next_holder(spark):
+    """A version just under the limit holds the signatures first; the verbatim pair behind it is still found."""
+    rng, texts = random.Random(34), []
+    for _ in range(40):
+        copy = words(rng, 55).split()
+        near = list(copy)
+        near[18], near[36] = words(rng, 1), words(rng, 1)
+        texts += [" ".join(near), f"{words(rng, 30)} {' '.join(copy)}", f"{' '.join(copy)} {words(rng, 30)}"]
+    found = {(r.doc_id, r.kept_id) for r in substrings.find(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert found == {(i + 3, i + 2) for i in range(0, 120, 3)}
+
+
+def test_cut_of_repeated_ids(spark):
+    rng = random.Random(35)
+    p, other = words(rng, 60), words(rng, 100)
+    df = spark.createDataFrame([(1, p), (2, p), (2, other), (2, other), (3, other), (3, None), (None, p)], "doc_id long, text string").withColumns({"text_key": F.lit(1), "id": F.lit(2), "p": F.lit(3)})
+    out = substrings.cut(df, substrings.find(df))
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, p), (2, other), (2, other), (3, None), (None, p)], key=repr)
+    empty = df.where("false")
+    assert substrings.cut(empty, substrings.find(empty)).count() == 0
+
+
 def test_substrings_of_odd_rows(odd):
     got = {(r.doc_id, r.kept_id): r.n_words for r in substrings.find(odd).collect()}
     assert got == {(5, 4): 40_000} or got == {(5, 4): 40_001}
