@@ -48,7 +48,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.shared_path(spark, "tokens")
-    manifest = token_files.write_files(documents(spark, sf_dir), folder, tokenizer_file("byte_bpe_50k.json"), 50257, end_id=2)
+    manifest = token_files.write_files(documents(spark, sf_dir), folder, tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return token_files.read_files(manifest, folder)
 
 

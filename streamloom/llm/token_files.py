@@ -13,15 +13,19 @@ A reader takes the footer, then any block by its offset, and unpacks it with num
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,6 +35,11 @@ MAGIC = b"SLTK1\0"
 BLOCK_IDS = 1 << 18
 #: Distinct segments that a Python worker remembers; the cache starts anew beyond that.
 CACHE = 1_000_000
+#: UTF-8 bytes encoded at once: more of them share their segments.
+SLICE = 8_000_000
+#: White space besides space and newline, and \\x01, as a regular expression's class.
+_STRANGE = r"\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TEXT = partial(pa.scalar, type=pa.large_string())
 _workers: dict[int, Encoder] = {}
 
 
@@ -43,7 +52,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids at ``bits`` each, least significant bit first."""
+    """Ids at ``bits`` each, least significant bit first; ValueError if one does not fit."""
+    if len(ids) and (int(ids.max()) >> bits or int(ids.min()) < 0):
+        raise ValueError(f"ids from {ids.min()} to {ids.max()} do not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     flat = ((ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)
@@ -138,19 +149,24 @@ class Encoder:
     """The tokenizers library over distinct segments of texts.
 
     The byte-level pattern never matches across a space that stands alone between two other
-    characters, nor across such a newline, so the ids of a text are those of its segments; texts with
-    any other white space go to the library whole.
+    characters, nor across such a newline, so the ids of a text are those of its segments.  Texts with
+    any other white space or with an added token's content go to the library whole, and so do all texts
+    if the tokenizer splits by any other rule.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        told = json.loads(definition)
+        rule = told.get("pre_tokenizer") or {}
+        self.splits = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and not told.get("normalizer")
+        added = "".join("|" + re.escape(t["content"]) for t in told.get("added_tokens", []))
+        self.whole = f"^[ \n]|[ \n]$|[ \n][ \n]|[{_STRANGE}]{added}"
         self.cache: dict[str, bytes] = {}
-        n = self.library.get_vocab_size(with_added_tokens=True)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
         #: Ids whose first byte is a space or a newline: where the segments of a joined text begin.
-        self.opens = np.zeros(n, dtype=bool)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.opens[i] = token[:1] in "ĠĊ"
 
@@ -159,7 +175,7 @@ class Encoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Ids of new segments; many are joined into one text and taken apart at the ids that open one."""
-        spaced = [k for k in keys if k[0] not in "\x01\n"]
+        spaced = [k for k in keys if k[:1] not in ("\x01", "\n")]
         for a in range(0, len(spaced), 4096):
             part = spaced[a : a + 4096]
             ids = np.array(self._ids([" " + " ".join(part)])[0], dtype="<u4")
@@ -170,32 +186,38 @@ class Encoder:
                 continue
             data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
             self.cache.update(zip(part, [data[p:q] for p, q in zip(cuts, cuts[1:])], strict=True))
-        rest = [k for k in keys if k[0] in "\x01\n"]
+        rest = [k for k in keys if k[:1] in ("\x01", "\n")]
         for k, x in zip(rest, self._ids([k.removeprefix("\x01") for k in rest]), strict=True):
             self.cache[k] = np.array(x, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _strange(text: str) -> bool:
-        """Whether a text has white space besides spaces and newlines, or the mark that opens a text here."""
-        return any(c == "\x01" or c.isspace() and c not in " \n" for c in set(text))
-
-    @staticmethod
-    def _single(text: str) -> bool:
-        """Whether every space and newline stands alone between other characters."""
-        return text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n "))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        strange = self._strange("".join(x for x in texts if x))
-        odd = [i for i, t in enumerate(texts) if t and ((strange and self._strange(t)) or not self._single(t))]
-        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
-        parts = [[] if not t or i in whole else ("\x01" + t).replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: none), one after the other, and where those of each begin."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.whole) if self.splits else pa.array(np.ones(len(texts), bool))
+        own = {i: np.array(x, dtype="<u4") for i, x in zip(pc.indices_nonzero(odd).to_pylist(), self._ids(texts.filter(odd).to_pylist()), strict=True)}
+        # \x01 marks the segment that opens a text: no space stands before it
+        marked = pc.binary_join_element_wise(_TEXT("\x01"), pc.if_else(odd, _TEXT(""), texts) if own else texts, _TEXT(""))
+        parts = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        segments = parts.flatten().dictionary_encode()
+        keys = segments.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache = {}
-        new = set().union(*parts).difference(self.cache)
+        new = [k for k in keys if k not in self.cache]
         if new:
-            self._learn(list(new))
-        return [np.array(whole[i], dtype="<u4").tobytes() if i in whole else b"".join(map(self.cache.__getitem__, p)) for i, p in enumerate(parts)]
+            self._learn(new)
+        known = [self.cache[k] for k in keys]
+        sizes = np.array([len(k) for k in known], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        which = segments.indices.to_numpy()
+        ends = np.cumsum(sizes[which])
+        shift = (np.cumsum(sizes) - sizes)[which] - ends + sizes[which]
+        ids = flat[np.repeat(shift, sizes[which]) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = parts.offsets.to_numpy()
+        at = np.r_[0, ends][offsets - offsets[0]]
+        if own:
+            pieces = [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+            ids, at = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])]
+        return ids, at
 
 
 def encoder(definition: str) -> Encoder:
@@ -206,10 +228,17 @@ def encoder(definition: str) -> Encoder:
     return _workers[key]
 
 
+def vocabulary_size(definition: str) -> int:
+    """One more than the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
 # ------------------------------------------------------------------ files
 
 
-def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int | None, text: str = "text", order: Column | None = None, doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
+def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Encode every whole text and write the ids in ascending ``doc_id`` order; one file a partition.
 
     Returns the manifest: file_no, path, n_docs, n_ids - one row for each file.  The texts are range
@@ -217,17 +246,19 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
     a task that runs twice leaves an unnamed spare and never a broken file; the manifest is staged and
     names those that count.  ``folder`` is any place that pyarrow's file systems can write.
 
-    Null text counts as empty; null ids come first; equal ids are ordered by text; an empty table
-    gives an empty manifest.
+    An id takes the bits that the tokenizer's largest id (or ``end_id``) needs.  Added tokens' contents in
+    a text become their ids, as the library has it.  Null text counts as empty; null ids come first; equal
+    ids are ordered by text; an empty table gives an empty manifest; other columns do not matter.
     """
     spark = df.sparkSession
     common.ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
-    bits, n = bits_for(vocabulary), partitions or common.shuffle_partitions(spark)
+        told = f.read()
+    definition = spark.sparkContext.broadcast(told)
+    bits, n = bits_for(max(vocabulary_size(told), (end_id or 0) + 1)), partitions or common.shuffle_partitions(spark)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = source.repartitionByRange(n, "doc_id").withColumn("file_no", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
-    end = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, number = encoder(definition.value), None, 0
@@ -235,14 +266,16 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, vocabulary: int
         path = f"{base}/{uuid.uuid4().hex}.tokens"
         for batch in batches:
             column = batch.column(1)
-            for a, b in common.slices(column):
+            for a, b in common.slices(column, SLICE):
                 if writer is None:
                     number = batch.column(2)[0].as_py()
                     system.create_dir(base, recursive=True)
                     out = system.open_output_stream(path)
                     writer = Writer(out, bits)
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), own.encode(column.slice(a, b - a).to_pylist()), strict=True):
-                    writer.add(doc, np.frombuffer(ids + end, dtype="<u4"))
+                ids, at = own.encode(column.slice(a, b - a))
+                ids, at = np.insert(ids, np.repeat(at[1:], len(end)), np.tile(end, b - a)), at + len(end) * np.arange(b - a + 1)
+                for doc, p, q in zip(batch.column(0).slice(a, b - a).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    writer.add(doc, ids[p:q])
         if writer is not None:
             total = writer.close()
             out.close()
