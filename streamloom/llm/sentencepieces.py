@@ -2,8 +2,10 @@
 
 The encoder keeps, for every distinct segment of a batch, an agenda of its adjacent symbol pairs
 scored by the piece they would merge into, and merges the best (leftmost on ties) until none is left.
-Short segments of a batch advance together as rows of numpy matrices; a long one has a heap of its own.  The library then encodes the same
-segments as a check; should a segment ever differ, the library's ids are used and counted.
+Short segments of a batch advance together as rows of numpy matrices; a long one has a heap of its own.
+Every segment's ids are decoded again, and a text's decoded form is that of its segments in a row.  The
+library encodes and decodes the same segments as a check; should one ever differ, the library's result is
+used and the row says so.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class Codec:
 
     def __init__(self, model: bytes, check: bool = True):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.check, self.differing = check, 0
+        self.check = check
         n = len(self.sp)
         self.pieces = [self.sp.id_to_piece(i) for i in range(n)]
         normal = [not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)) for i in range(n)]
@@ -58,8 +60,9 @@ class Codec:
         self.pair: dict[int, int] = {}
         self.ranks = self.rank.tolist()
         self.names = [str(i) for i in range(n)]
-        self.cache: dict[str, str] = {}
-        #: Segments whose ids do not spell them; merges alone never cause that.
+        #: Ids (decimals joined by spaces) and decoded form of each segment.
+        self.cache: dict[str, tuple[str, str]] = {}
+        #: Segments for which the library gave something else.
         self.odd: set[str] = set()
 
     # ---------------------------------------------------------------- encoding
@@ -174,18 +177,20 @@ class Codec:
         """Encode new segments.  A key starting with a newline has no space mark before it."""
         marked = [(k if k[:1] == "\n" else SPACE + k).replace(" ", SPACE) for k in keys]
         found = self.agenda(marked)
+        decoded = [self.spelled(x).replace(SPACE, " ") for x in found]
         if self.check:
             # the library puts a space mark before everything; a key that begins a line has none, and
             # an empty text, for which the library gives nothing, is a mark alone here
             theirs = self.sp.encode([k if k[:1] == "\n" else k.replace(SPACE, " ") for k in keys], num_threads=1)
-            for i, (k, own, x) in enumerate(zip(keys, found, theirs, strict=True)):
-                if own != x and k and own != (x := x[1:] if k[0] == "\n" else x):
-                    self.differing += 1
-                    found[i] = x
-                    if self.spelled(x) != marked[i]:
-                        self.odd.add(k)
+            theirs = [own if not k else x[1:] if k[0] == "\n" else x for k, own, x in zip(keys, found, theirs, strict=True)]
+            back = self.sp.decode(theirs, num_threads=1)  # without the space that the first mark stands for
+            for i, (k, x, text) in enumerate(zip(keys, theirs, back, strict=True)):
+                text = text if k[:1] == "\n" else " " + text
+                if found[i] != x or decoded[i] != text:
+                    found[i], decoded[i] = x, text
+                    self.odd.add(k)
         names = self.names
-        self.cache.update(zip(keys, [" ".join([names[i] for i in x]) for x in found], strict=True))
+        self.cache.update(zip(keys, zip([" ".join([names[i] for i in x]) for x in found], decoded, strict=True), strict=True))
 
     def spelled(self, ids: list[int]) -> str:
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -199,15 +204,36 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text as decimals joined by spaces, without an end id."""
+        return [x[0] for x in self.round_trip(texts)]
+
+    def round_trip(self, texts: list[str]) -> list[tuple[str, str, int]]:
+        """Ids of each text as in ``encode``, the text decoded from them, and in how many segments the
+        library's result took the place of the own one."""
         if not self.splits:
-            return [" ".join(map(str, self.agenda([SPACE + t.replace(" ", SPACE)])[0])) if t else "" for t in texts]
+            return [self._whole(t) if t else ("", "", 0) for t in texts]
         parts = [self.segments(t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache, self.odd = {}, set()
         new = set().union(*parts).difference(self.cache) if parts else set()
         if new:
             self._learn(list(new))
-        return [" ".join(map(self.cache.__getitem__, p)) for p in parts]
+        out = []
+        for p in parts:
+            known = [self.cache[k] for k in p]
+            text = "".join([x[1] for x in known])
+            out.append((" ".join([x[0] for x in known]), text[1:] if text[:1] == " " else text, sum(k in self.odd for k in p) if self.odd else 0))
+        return out
+
+    def _whole(self, text: str) -> tuple[str, str, int]:
+        """The same for a vocabulary whose pieces reach across segments."""
+        ids = self.agenda([SPACE + text.replace(" ", SPACE)])[0]
+        back, differs = self.decode(ids), 0
+        if self.check:
+            theirs = self.sp.encode(text)
+            spelled = self.sp.decode(theirs)
+            differs = int(ids != theirs or back != spelled)
+            ids, back = theirs, spelled
+        return " ".join([self.names[i] for i in ids]), back, differs
 
     # ---------------------------------------------------------------- decoding
 
@@ -216,12 +242,6 @@ class Codec:
         out = self.spelled(ids).replace(SPACE, " ")
         return out[1:] if out[:1] == " " else out
 
-    def decode_known(self, text: str, ids: str) -> str:
-        """The decoded text; where every segment spells itself, that is the text with plain spaces."""
-        if self.odd and not self.odd.isdisjoint(self.segments(text)):
-            return self.decode([int(i) for i in ids.split()])
-        return text.replace(SPACE, " ")
-
 
 def codec(model: bytes) -> Codec:
     """The worker's codec for a model; it and its cache outlive a task."""
@@ -235,7 +255,8 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: t
     """Encode every whole text and decode it again; one row for each row of ``df``, no shuffle.
 
     Columns: ``keep``, ids (array<int>, with ``end_id``; left out unless ``with_ids``), n_tokens,
-    ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the decoded text).  The
+    ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the text decoded from them),
+    n_differing (segments for which the library's check replaced the own result; 0 expected).  The
     model file is read on the driver and sent along (its size does not depend on the data).  Null text
     counts as empty: the end id alone.  Repeated rows each get a row; an empty table gives none.
     """
@@ -252,8 +273,7 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: t
             column = batch.column(batch.num_columns - 1)
             for a, b in common.slices(column):
                 texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
-                lines = own.encode(texts)
-                decoded = [own.decode_known(t, x) for t, x in zip(texts, lines, strict=True)]
+                lines, decoded, differing = zip(*own.round_trip(texts), strict=True)
                 if end_id is not None:
                     lines = [f"{x} {end_id}" if x else str(end_id) for x in lines]
                 counts = [x.count(" ") + 1 if x else 0 for x in lines]
@@ -265,8 +285,9 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: t
                     pa.array(counts, pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lines]),
                     pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded]),
+                    pa.array(differing, pa.int64()),
                 ]
-                names = [*["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
+                names = [*["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256", "n_differing"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], *made], [*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, kept + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, kept + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long")

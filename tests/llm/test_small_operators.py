@@ -1,12 +1,14 @@
 """Sharding, license scan, quality rules, SentencePiece and token files against plain restatements."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,12 +202,18 @@ def test_sentencepiece_equals_the_library(spark, sf, odd, none, model):
 def test_agenda_alone_equals_the_library(model):
     """Without the library's check, so that only the own merges are at work."""
     codec = sentencepieces.Codec(open(model, "rb").read(), check=False)
+    checked = sentencepieces.Codec(open(model, "rb").read())
+    whole = sentencepieces.Codec(open(model, "rb").read())
+    whole.splits = False
     rng = random.Random(4)
     alphabet = [*"ab  \n\té中😀▁\x00.,　ﬁ①́", "the", " the", "<s>", "<0x0A>", "ing", "tion"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(2000)] + [t or "" for _, t in ODD if len(t or "") < 1000]
     for t, own, theirs in zip(texts, codec.encode(texts), codec.sp.encode(texts), strict=True):
         assert own == " ".join(map(str, theirs))
         assert codec.decode(theirs) == codec.sp.decode(theirs)
+    for c in (codec, checked, whole):
+        assert [x[1] for x in c.round_trip(texts)] == [c.sp.decode(c.sp.encode(t)) for t in texts]
+    assert not any(x[2] for x in checked.round_trip(texts))
 
 
 # ---------------------------------------------------------------- token files
@@ -241,8 +249,7 @@ def check_files(df, folder, path, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    manifest = token_files.write_files(df, folder, path, 50257, 2)
+    manifest = token_files.write_files(df, folder, path, 2)
     got = token_files.read_files(manifest, folder).orderBy("start").collect()
     at = 0
     for r, (i, text) in zip(got, rows, strict=True):
@@ -258,14 +265,40 @@ def test_token_files(spark, docs, odd, none):
     check_files(docs, common.shared_path(spark, "t"), path, rows)
     check_files(odd, common.shared_path(spark, "t"), path, sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
     folder = common.shared_path(spark, "t")
-    assert token_files.read_files(token_files.write_files(none, folder, path, 50257, 2), folder).count() == 0
+    assert token_files.read_files(token_files.write_files(none, folder, path, 2), folder).count() == 0
 
 
 def test_segments_equal_whole_texts():
+    from tokenizers import Tokenizer
+
     e = token_files.Encoder(open(queries.tokenizer_file("byte_bpe_50k.json")).read())
     rng = random.Random(2)
     alphabet = [*"ab  \n\té中😀.,　①́\x01\x85\x1c\xa0", "the", " the", "'s", "'ll", "<|endoftext|>", " 12", "\n"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
     texts += [" ".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext", "", None, " ", "\n"]
+    plain = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for chunk in (len(texts), 100):
+        got = []
+        for i in range(0, len(texts), chunk):
+            ids, at = e.encode(pa.array(texts[i : i + chunk], pa.string()))
+            got += [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == want
+    assert len(e.encode(pa.array([], pa.string()))[0]) == 0
+    other = json.loads(open(queries.tokenizer_file("byte_bpe_50k.json")).read())
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    e = token_files.Encoder(json.dumps(other))
+    ids, at = e.encode(pa.array(["one two", "three"]))
+    assert not e.splits and ids.tolist() == [i for t in ("one two", "three") for i in e.library.encode(t, add_special_tokens=False).ids]
+
+
+def test_ids_that_do_not_fit():
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([70000], np.uint32), 16)
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([8192], np.uint32), 13)
+
+
+def test_vocabulary_of_the_tokenizer():
+    assert token_files.vocabulary_size(open(queries.tokenizer_file("byte_bpe_50k.json")).read()) == 50257
