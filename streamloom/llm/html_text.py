@@ -48,9 +48,13 @@ _HINT = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
 _TAGS = "article main section div p li ul ol nav header footer aside form table td h1 h2 h3 blockquote pre figure body".split()
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 _AROUND = "article main section nav header footer aside form".split()
-FEATURES = len(_TAGS) + 1 + len(HINTS) + 10 + len(_AROUND) + len(HINTS)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_UNENDED = re.compile(r"<[A-Za-z/!?]")
+FEATURES = len(_TAGS) + 1 + len(HINTS) + 15 + len(_AROUND) + len(HINTS)
+#: Where a tag, comment or declaration starts; any other "<" is text.
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+#: What follows within a tag: a quoted value (quotes count only after "="), or the tag's end.
+_WITHIN = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|>")
+#: Of the raw elements, those that hold mere text up to their end tag or the page's end.
+_UNENDED = frozenset("script style textarea title iframe".split())
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|data-part)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 SEED = 11
@@ -70,7 +74,8 @@ def parse(page: str) -> list[Node]:
     """The block elements of a page in document order; inline markup is folded into its block.
 
     Unclosed elements end with what encloses them; a block start ends an open paragraph; end tags of
-    nothing open are passed over.  A text cut off in a tag or comment ends there.
+    nothing open are passed over.  A text cut off in a tag or comment ends there.  Time is linear in the
+    page's length, whatever quotes or brackets stand open.
     """
     nodes = [Node("html", {}, -1, 0)]
     stack = [0]
@@ -87,20 +92,43 @@ def parse(page: str) -> list[Node]:
             if links:
                 node.linked += len(piece)
 
+    never: set[str] = set()
+    opened: dict[str, int] = {}  # open elements by tag, so that stray end tags cost nothing
+
+    def close(k: int) -> None:
+        for i in stack[k:]:
+            opened[nodes[i].tag] -= 1
+        del stack[k:]
+
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPENS.search(page, at)
         if m is None:
-            rest = _UNENDED.search(page, at)  # a tag that never ends is no text
-            text(at, rest.start() if rest else end)
+            text(at, end)
             break
         text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+        if m[1]:
+            stop = page.find("-->", m.end())
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if m[2]:
+            stop = page.find(">", m.end())
+            at = stop + 1 if stop >= 0 else end
             continue
-        closing, tag, rest = m[1], m[2].lower(), m[3]
+        to = m.end()
+        while (inner := _WITHIN.search(page, to)) and inner[0] != ">":
+            to = inner.end()
+        if inner is None:  # a tag that never ends is no text
+            break
+        at = inner.end()
+        closing, tag, rest = m[3], m[4].lower(), page[m.end() : inner.start()]
         if not closing:
             if tag in RAW:
+                if tag in never:
+                    continue
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if stop is None and tag not in _UNENDED:
+                    never.add(tag)  # no end tag from here on: only the start tag is passed over
+                    continue
                 at = stop.end() if stop else end
                 continue
             if tag == "br" or tag == "hr" or tag == "img":
@@ -115,27 +143,28 @@ def parse(page: str) -> list[Node]:
             if tag not in BLOCK or tag in ("html", "head") or rest.rstrip().endswith("/"):
                 continue
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
-            if tag in CLOSES:
+                close(len(stack) - 1)
+            if tag in CLOSES and any(opened.get(x) for x in CLOSES[tag][0]):
                 ends, stops = CLOSES[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag in stops:
                         break
                     if nodes[stack[k]].tag in ends:
-                        del stack[k:]
+                        close(k)
                         break
             elif tag[0] == "h" and tag[1:].isdigit() and re.fullmatch(r"h[1-6]", nodes[stack[-1]].tag) and len(stack) > 1:
-                stack.pop()
+                close(len(stack) - 1)
             links = 0
             attributes = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTRIBUTE.findall(rest)}
             nodes.append(Node(tag, attributes, stack[-1], len(stack)))
             stack.append(len(nodes) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
         elif tag == "a":
             links = 0
-        elif tag in BLOCK and tag not in ("html", "body", "head"):
+        elif tag in BLOCK and tag not in ("html", "body", "head") and opened.get(tag):
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
     return nodes
 
@@ -171,8 +200,18 @@ def features(nodes: list[Node]) -> np.ndarray:
     out[:, rest + 7] = np.log1p(children) / 3
     out[:, rest + 8] = [("hidden" in x.attributes) or x.attributes.get("aria-hidden") == "true" for x in nodes]
     out[:, rest + 9] = own < 25
+    # its place among its siblings and their parent
+    parent = np.array([max(0, x.parent) for x in nodes])
+    plain = np.maximum(own - linked, 0)
+    beside = np.zeros(n)
+    np.add.at(beside, parent[1:], plain[1:])
+    out[:, rest + 10] = np.log1p(plain) / 6
+    out[:, rest + 11] = np.log1p(np.maximum(beside[parent] - plain, 0)) / 8
+    out[:, rest + 12] = total_linked[parent] / np.maximum(total[parent], 1)
+    out[:, rest + 13] = own > 120
+    out[:, rest + 14] = total[parent] / whole
     # what the element stands in: sectioning elements and hints of itself and all around it
-    around = rest + 10
+    around = rest + 15
     for i, x in enumerate(nodes):
         if i:
             out[i, around:] = out[x.parent, around:]
@@ -260,7 +299,7 @@ def train(pages: list[tuple[list[Node], np.ndarray]], rounds: int = 400, decay:
 # ------------------------------------------------------------------ labelled pages
 
 
-def labelled_pages(n: int = 600, seed: int = SEED) -> list[tuple[list[Node], np.ndarray]]:
+def labelled_pages(n: int = 900, seed: int = SEED) -> list[tuple[list[Node], np.ndarray]]:
     """Pages of many layouts with a label for each block: 1 within the article, 0 elsewhere.
 
     Elements of the article carry ``data-part="1"``, which only the labels read.
@@ -299,9 +338,17 @@ def _page(rng: random.Random) -> str:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         return rng.choice([" | ", " "]).join(items)
 
+    def prose(n: int) -> str:
+        """Words with inline markup and links here and there."""
+        out = _words(rng, n)
+        kind = rng.random()
+        if kind < 0.12:
+            return f'{out} <a href="#">{_words(rng, rng.randint(1, 4))}</a> {_words(rng, rng.randint(1, 12))}'
+        return f"<b>{out}</b>" if kind < 0.16 else f"{out}<br>{_words(rng, 5)}" if kind < 0.2 else out
+
     def paragraphs(n: int, mark: str = "", least: int = 2, most: int = 90) -> str:
         open_ended = rng.random() < 0.2
-        return "".join(f"<p{mark}>{_words(rng, rng.randint(least, most))}" + ("" if open_ended else "</p>") for _ in range(n))
+        return "".join(f"<p{mark}>{prose(rng.randint(least, most))}" + ("" if open_ended else "</p>") for _ in range(n))
 
     def part(kind: str) -> str:
         if kind == "menu":
@@ -332,34 +379,43 @@ def _page(rng: random.Random) -> str:
         return f"<div{hint}>{rng.choice(['', '<p>'])}{_words(rng, rng.randint(3, 30))}</div>"
 
     mark = ' data-part="1"'
-    body = [f"<h1{mark}>{_words(rng, rng.randint(2, 14))}</h1>"] if rng.random() < 0.85 else []
-    most = rng.choice([12, 40, 90, 90])
+    body = [f"<h1{mark}>{_words(rng, rng.randint(2, 14))}</h1>"] if rng.random() < 0.7 else []
+    least, most = rng.choice([(2, 12), (2, 40), (2, 90), (20, 90), (40, 120), (60, 250)])
+    shell = rng.choice(["article", "article", "main", "div", "div", "section", "body", "body"])
+    bare = shell == "body"  # the article's blocks stand among the page's other parts
     for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
         kind = rng.random()
         if kind < 0.74:
-            body.append(paragraphs(1, mark, 2, most))
+            body.append(paragraphs(1, mark, max(least, 15 if bare else 0), max(most, 30 if bare else 0)))
         elif kind < 0.82:
             body.append(f"<h2{mark}>{_words(rng, rng.randint(1, 8))}</h2>")
         elif kind < 0.88:
-            body.append(f"<blockquote{mark}>{_words(rng, rng.randint(5, 40))}</blockquote>")
+            body.append(f"<blockquote{mark}>{prose(rng.randint(5, 40))}</blockquote>")
         elif kind < 0.94:
-            body.append(f"<ul{mark}>" + "".join(f"<li{mark}>{_words(rng, rng.randint(2, 25))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+            linked = rng.random() < 0.3
+            items = [_words(rng, rng.randint(2, 25)) for _ in range(rng.randint(1, 5))]
+            items = [f'<a href="#">{x}</a> {_words(rng, rng.randint(2, 12))}' if linked else x for x in items]
+            body.append(f"<ul{mark}>" + "".join(f"<li{mark}>{x}</li>" for x in items) + "</ul>")
         else:
             body.append(f"<table{mark}><tr{mark}><td{mark}>{_words(rng, 3)}</td><td{mark}>{_words(rng, 4)}</td></tr></table>")
+    if not any("<p" in x or "<block" in x for x in body):
+        body.append(paragraphs(1, mark, max(least, 15 if bare else 0), max(most, 30 if bare else 0)))
     if rng.random() < 0.25:  # an advert or a share bar among the paragraphs
         body.insert(rng.randint(1, len(body)), part(rng.choice(["advert", "share", "notice", "side"])))
+    if rng.random() < 0.2:
+        body.append(f"<footer>{_words(rng, rng.randint(2, 14))}</footer>")
     inner = "".join(body)
-    if rng.random() < 0.3:
-        inner = f"<div{named('content')}{mark}>{inner}</div>"
-    shell = rng.choice(["article", "article", "main", "div", "section"])
-    hint = named("content") or (' class="content"' if shell in ("div", "section") and rng.random() < 0.7 else "")
-    article = f"<{shell}{hint}{mark}>{inner}</{shell}>"
-    before = [part(k) for k in ("notice", "header", "menu", "advert", "form") if rng.random() < 0.5]
-    after = [part(k) for k in ("share", "comment", "side", "advert", "form", "menu", "footer") if rng.random() < 0.5]
+    hinted = rng.random() < 0.5
+    for _ in range(0 if bare else rng.choice([0, 0, 0, 1, 1, 2, 3])):
+        inner = f"<div{named('content') if hinted else ''}{mark}>{inner}</div>"
+    hint = named("content") if hinted else ""
+    article = inner if bare else f"<{shell}{hint}{mark}>{inner}</{shell}>"
+    before = [part(k) for k in ("notice", "header", "menu", "advert", "form") if rng.random() < 0.45]
+    after = [part(k) for k in ("share", "comment", "side", "advert", "form", "menu", "footer") if rng.random() < 0.45]
     rng.shuffle(before)
     page = "".join([*before, article, *after])
-    if rng.random() < 0.3:
-        page = f"<div{rng.choice(['', ' id=\"page\"', ' class=\"wrapper\"'])}>{page}</div>"
+    for _ in range(rng.choice([0, 0, 1, 1, 2])):
+        page = f"<div{rng.choice(['', ' id=\"page\"', ' class=\"wrapper\"', ' id=\"wrap\"', ' class=\"container\"'])}>{page}</div>"
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
 
 
@@ -368,7 +424,8 @@ def extract(df: DataFrame, model: Model | None = None, page: str = "html", keep:
 
     Character references are decoded; white space within a block becomes one space and its ends are
     trimmed; blocks are joined in page order by two newlines.  Null or empty pages and pages without
-    content have the empty text; broken markup is read as far as it goes; repeated rows each get a row.
+    content have the empty text; broken markup is read as far as it goes, in time linear in the page;
+    repeated rows each get a row, an empty table none; columns named text or n_chars in ``df`` do not matter.
     The model is a few dozen numbers, trained on the driver unless given.
     """
     common.ship(df.sparkSession)

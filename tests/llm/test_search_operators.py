@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -412,6 +413,45 @@ def test_held_out_pages(model):
     assert wrong < 0.05 * seen
 
 
+def test_unseen_layouts():
+    """Articles of layouts without hints, as the default model reads them."""
+    m, rng = html_text.train(html_text.labelled_pages()), random.Random(5)
+    text = lambda n: html_text._words(rng, n)
+    many = lambda n, k: [text(k) for _ in range(n)]
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    menu = "<nav><ul><li><a href=#>Home</a><li><a href=#>About us</a></ul></nav>"
+    a, b, c, d = many(5, 80), many(5, 80), many(3, 60), many(1, 40)
+    title, para, item = text(5), text(40), text(6)
+    assert m.text(f"<body>{p(a)}</body>") == "\n\n".join(a)
+    assert m.text(f"<body><div><div><div>{p(b)}</div></div></div></body>") == "\n\n".join(b)
+    assert m.text(f"<body><div id=wrap>{menu}{p(c)}<footer>&copy; 2020 me</footer></div></body>") == "\n\n".join(c)
+    assert m.text(f"<body><article>{p(d)}</article></body>") == d[0]
+    got = m.text(f"<body><article><h1>{title}</h1><p>{para}</p><ul><li><a href=x>{item}</a></li></ul></article><footer>by me</footer></body>")
+    assert got == "\n\n".join([title, para, item])
+
+
+def test_pages_equal_their_articles(spark):
+    """The article element of every page, without the adverts in it, is the yardstick."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in queries.op6_html_text(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages:
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        nodes = html_text.parse("<body>" + re.sub(r'<div class="ad">.*?</div>', "", inner, flags=re.S))
+        assert got[r.page_id] == "\n\n".join(html_text.blocks(nodes, [True] * len(nodes)))
+
+
+def test_parse_attributes_and_hostile_pages():
+    texts = lambda h: html_text.blocks(n := html_text.parse(h), [True] * len(n))
+    assert texts("<p title=it's>one isn't</p><p title='a > b' x=\"'\">two</p><p a = \"</p>\">three") == ["one isn't", "two", "three"]
+    assert texts("a < b <select><option>x <p>kept</p>") == ["a < b x", "kept"]
+    assert texts("<p>on<script>no</p>") == ["on"]
+    started = time.monotonic()
+    for part, n in (("<p title=\"a' ", 70_000), ("<a '", 250_000), ("<p title='", 100_000), ("<!--", 250_000), ("<select>", 100_000), ("</p>", 250_000)):
+        html_text.parse(part * n)
+    html_text.parse("<div>" * 50_000 + "</p></li>" * 50_000)
+    assert time.monotonic() - started < 30
+
+
 def test_extract(spark, model):
     page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Title &amp; more</h1><p>First   para,<br>with <b>bold &eacute;</b> words\n here.<p>Second one, which is longer and goes on for a while.</article><div class="comments"><p>I disagree, a reader says.</p></div><footer>&copy; 2024</footer>'
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<"), (5, "u", "<!-- never ends"), (None, "u", page), (None, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
