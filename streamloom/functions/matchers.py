@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A regular expression that matches nothing.
+NOTHING = r"[^\s\S]"
+
+
 def _quoted(part: str) -> str:
     return re.sub(r"([^A-Za-z0-9_])", r"\\\1", part)
 
@@ -31,8 +35,11 @@ def mqtt_regex(pattern: str) -> str:
 
 
 def glob_regex(pattern: str) -> str:
-    """File-name globbing: ``*`` a run without slash, ``?`` one such character, ``[...]`` a class."""
-    out, i = "^", 0
+    """File-name globbing: ``*`` a run without slash, ``?`` one such character, ``[...]`` a class; a class
+    that never ends matches nothing.  ``*`` alone is any name, and ``x.*`` also takes one word with slashes."""
+    if pattern == "*":
+        return r"^[\s\S]*$"
+    out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
         if c == "*":
@@ -42,14 +49,18 @@ def glob_regex(pattern: str) -> str:
         elif c == "\\" and i + 1 < len(pattern):
             i += 1
             out += _quoted(pattern[i])
-        elif c == "[" and "]" in pattern[i + 2 :]:
-            to = pattern.index("]", i + 2)
-            out += "[" + pattern[i + 1 : to].replace("\\", "\\\\") + "]"
-            i = to
+        elif c == "[":
+            m = re.compile(r"\[(\^?)((?:\\.|[^\]\\])+)\]", re.S).match(pattern, i)
+            if m is None:
+                out = NOTHING
+                break
+            out += "[" + m[1] + re.sub(r"\\([A-Za-z0-9_])", r"\1", m[2]).replace("[", r"\[") + "]"
+            i = m.end() - 1
         else:
             out += _quoted(c)
         i += 1
-    return out + "$"
+    word = "|" + _quoted(pattern[:-1]) + "[^.]*" if pattern.endswith(".*") else ""
+    return f"^(?:{out}{word})$"
 
 
 def _quote(part: Column) -> Column:
@@ -77,10 +88,25 @@ def mqtt_matches(pattern: Column, topic: Column) -> Column:
 
 
 def glob_matches(pattern: Column, name: Column) -> Column:
-    """Whether a name matches a glob of ``*`` and ``?``, or equals it; both are columns."""
-    quoted = _quote(pattern)
-    regex = F.replace(F.replace(quoted, F.lit(r"\*"), F.lit("[^/]*")), F.lit(r"\?"), F.lit("[^/]"))
-    return (pattern == name) | F.rlike(name, F.concat(F.lit("^"), regex, F.lit("$")))
+    """Whether a name matches a glob of ``*``, ``?``, ``[...]`` and ``\\x``, or equals it; both are columns.
+
+    A class that never ends matches nothing.
+    """
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)\\.|\[\^?[^\]\\](?:\\.|[^\]\\])*\]|\[\^?(?:\\.)(?:\\.|[^\]\\])*\]|."), F.lit(0))
+    inside = lambda w: F.regexp_replace(F.regexp_replace(F.substr(w, F.lit(2), F.length(w) - 2), r"\\([A-Za-z0-9_])", "$1"), r"([\[&~])", r"\\$1")
+    regex = F.transform(
+        parts,
+        lambda w: F.when(w == "*", F.lit("[^/]*"))
+        .when(w == "?", F.lit("[^/]"))
+        .when(F.startswith(w, F.lit("\\")) & (F.length(w) == 2), _quote(F.substr(w, F.lit(2), F.lit(1))))
+        .when(F.startswith(w, F.lit("[")) & (F.length(w) > 1), F.concat(F.lit("["), inside(w), F.lit("]")))
+        .otherwise(_quote(w)),
+    )
+    broken = F.exists(parts, lambda w: w == "[")
+    globbed = F.rlike(name, F.when(broken, F.lit(NOTHING)).otherwise(F.concat(F.lit("(?s)^"), F.array_join(regex, ""), F.lit("$"))))
+    word = F.substr(pattern, F.lit(1), F.length(pattern) - 1)  # of "x.*": any one word, slashes and all
+    dotted = F.endswith(pattern, F.lit(".*")) & F.startswith(name, word) & (F.instr(F.substr(name, F.length(pattern)), ".") == 0)
+    return (pattern == "*") | (pattern == name) | globbed | dotted
 
 
 def to_log_topic(topic: Column, separator: str = ".") -> Column:

@@ -7,11 +7,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import valid_dlq_topic
 from ..sources.files import as_json
+from .ordered import numbered
 
 MAX_RETRIES = 3
 LONGEST_PATTERN = 256
@@ -21,8 +22,8 @@ Step = Callable[[DataFrame], DataFrame]
 
 def push(entries: DataFrame, enabled: bool = True) -> DataFrame:
     """Entries numbered from 1 within their topic, by failure time; invalid topics are passed over."""
-    order = Window.partitionBy("topic").orderBy("failed_at", "event_id")
-    return entries.where(valid_dlq_topic(F.col("topic")) & F.lit(enabled)).withColumn("id", F.row_number().over(order).cast("long"))
+    valid = entries.where(valid_dlq_topic(F.col("topic")) & F.lit(enabled))
+    return numbered(valid, ["topic"], F.date_trunc("hour", F.col("failed_at")), ["failed_at", "event_id"], "id").withColumn("id", F.col("id") + 1)
 
 
 def should_dlq(retries: Column, most: int = MAX_RETRIES) -> Column:

@@ -50,7 +50,7 @@ def dedup_windowed(df: DataFrame, key: str, window_ns: int = WINDOW_NS) -> DataF
     A pause as long as the window begins anew whatever came before, so keys are cut there.
     """
     slim = df.select(F.col(key).cast("string").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts_ns").cast("long").alias("ts_ns"))
-    return fold(segments(slim, ["key"], "ts_ns", ["ts_ns", "id"], window_ns - 1), ["key", "_segment"], ["ts_ns", "id"], anchored(window_ns), "key string, id long, ts_ns long")
+    return fold(segments(slim, ["key"], "ts_ns", window_ns - 1), ["key", "_segment"], ["ts_ns", "id"], anchored(window_ns), "key string, id long, ts_ns long")
 
 
 def last_sequence(sightings: DataFrame, producer: str = "producer_id", seq: str = "seq") -> DataFrame:
@@ -95,12 +95,13 @@ def token_bucket(df: DataFrame, rate: int, global_rate: int = 0) -> DataFrame:
     """Exact token buckets: id, topic, allowed.  ``df``: id, topic, ts_ns.
 
     With topic buckets alone each topic is a sequence of its own, cut where it rests long enough to be
-    full again.  A bucket for all makes the whole log one sequence: it is cut where everything rested.
+    full again.  A bucket for all makes the whole log one sequence, by its nature: it is cut only where
+    everything rested.
     """
     slim = df.select(F.col("id").cast("long").alias("id"), "topic", F.col("ts_ns").cast("long").alias("ts_ns")).withColumn("_all", F.lit(0) if global_rate else F.xxhash64("topic"))
     key = ["_all"]
     # after two whole seconds any bucket is full; the buckets' refill marks then begin anew as well
-    cut = segments(slim, key, "ts_ns", ["ts_ns", "id"], 2_000_000_000)
+    cut = segments(slim, key, "ts_ns", 2_000_000_000)
     return fold(cut, [*key, "_segment"], ["ts_ns", "id"], bucket(rate, global_rate), "id long, topic string, allowed boolean")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import whole
-from .ordered import fold, segments
+from .ordered import fold, numbered, segments
+
+HOUR_NS = 3_600_000_000_000
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, within_ns: int, names: tuple[str, str] = ("left_id", "right_id")) -> DataFrame:
@@ -26,35 +29,43 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, within_ns: int, n
 
 
 def pair_nth(left: DataFrame, right: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One-to-one pairing in order of arrival without a window: the n-th left with the n-th right of a key."""
-    numbered = lambda d, name: d.select(F.col(key).alias("key"), F.col("id").alias(name), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("n"))
-    return numbered(left, "left_id").join(numbered(right, "right_id"), ["key", "n"]).select("key", "left_id", "right_id")
+    """One-to-one pairing in order of arrival without a window: the n-th left with the n-th right of a key.
+
+    Rows are numbered by hour of ``order``'s first column (nanoseconds or a timestamp), so a hot key is
+    never sorted whole, and the join's key holds the number."""
+
+    def placed(d: DataFrame, name: str) -> DataFrame:
+        time = F.col(order[0])
+        bucket = whole(time, HOUR_NS) if d.schema[order[0]].dataType.simpleString() == "bigint" else F.date_trunc("hour", time)
+        return numbered(d.withColumn("_key", F.col(key)), ["_key"], bucket, order, "n").select(F.col("_key").alias("key"), F.col("id").alias(name), "n")
+
+    return placed(left, "left_id").join(placed(right, "right_id"), ["key", "n"]).select("key", "left_id", "right_id")
 
 
 def greedy(within_ns: int) -> Callable[[dict], Iterator[dict]]:
     """The pairing rule for one key: an arriving row takes the earliest waiting row of the other side
-    that is ``within_ns`` away at most; both are used up.  Else it waits."""
-    waiting: dict[str, list[dict]] = {"L": [], "R": []}
+    that is ``within_ns`` away at most; both are used up.  Else it waits.  Each row is put in and taken out
+    of a queue once."""
+    waiting: dict[str, deque[dict]] = {"L": deque(), "R": deque()}
+
+    def alone(r: dict) -> dict:
+        return {"key": r["key"], "left_id": r["id"] if r["side"] == "L" else None, "right_id": r["id"] if r["side"] == "R" else None}
 
     def step(row: dict) -> Iterator[dict]:
         if not row:
-            for r in [*waiting["L"], *waiting["R"]]:
-                yield {"key": r["key"], "left_id": r["id"] if r["side"] == "L" else None, "right_id": r["id"] if r["side"] == "R" else None}
+            yield from map(alone, [*waiting["L"], *waiting["R"]])
             return
-        side = row["side"]
-        other = waiting["R" if side == "L" else "L"]
-        for i, r in enumerate(other):
-            if abs(r["ts_ns"] - row["ts_ns"]) <= within_ns:
-                del other[i]
-                pair = (row, r) if side == "L" else (r, row)
-                yield {"key": row["key"], "left_id": pair[0]["id"], "right_id": pair[1]["id"]}
-                return
         # rows arrive in time order: those too old for this one are too old for all that follow
-        own = waiting[side]
-        keep = [r for r in own if row["ts_ns"] - r["ts_ns"] <= within_ns]
-        for r in own[: len(own) - len(keep)]:
-            yield {"key": r["key"], "left_id": r["id"] if side == "L" else None, "right_id": r["id"] if side == "R" else None}
-        waiting[side] = [*keep, row]
+        for side in waiting.values():
+            while side and row["ts_ns"] - side[0]["ts_ns"] > within_ns:
+                yield alone(side.popleft())
+        other = waiting["R" if row["side"] == "L" else "L"]
+        if not other:
+            waiting[row["side"]].append(row)
+            return
+        r = other.popleft()
+        pair = (row, r) if row["side"] == "L" else (r, row)
+        yield {"key": row["key"], "left_id": pair[0]["id"], "right_id": pair[1]["id"]}
 
     return step
 
@@ -66,7 +77,7 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, within_ns: int) -> Da
     nothing came for longer than the window, so a hot key is not one task's work.
     """
     sides = [d.select(F.col(key).alias("key"), F.col("id").cast("long").alias("id"), F.col("ts_ns").cast("long").alias("ts_ns"), F.lit(s).alias("side")) for d, s in ((left, "L"), (right, "R"))]
-    both = segments(sides[0].unionByName(sides[1]), ["key"], "ts_ns", ["ts_ns", "side", "id"], within_ns)
+    both = segments(sides[0].unionByName(sides[1]), ["key"], "ts_ns", within_ns)
     return fold(both, ["key", "_segment"], ["ts_ns", "side", "id"], lambda: greedy(within_ns), "key string, left_id long, right_id long")
 
 

@@ -30,14 +30,17 @@ def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
     """One row per message and matching binding; a destination bound twice gets a message twice.
 
     ``kind``: direct (binding_key = routing_key), topic (patterns over dotted keys), fanout (all) or
-    headers.  ``bindings``: destination, binding_key, and args for headers.  Patterns are matched once
-    per distinct key, not per message.  Anything else is treated as direct.
+    headers.  ``bindings``: destination, binding_key, and args for headers.  Patterns and arguments are
+    matched once per distinct key or set of headers, not per message.  Anything else is treated as direct.
     """
     rules = small(bindings)
     if kind == "fanout":
         return messages.join(rules.select("destination"), F.lit(True))
     if kind == "headers":
-        return messages.join(rules.select("destination", "args"), headers_match(F.col("args"), F.col("headers"))).drop("args")
+        told = messages.withColumn("_set", F.array_sort(F.map_entries("headers")))
+        sets = told.select("_set").distinct().withColumn("headers", F.map_from_entries("_set"))
+        matched = sets.join(rules.select("destination", "args"), headers_match(F.col("args"), F.col("headers"))).select(F.col("_set").alias("_known"), "destination")
+        return told.join(matched, F.col("_set").eqNullSafe(F.col("_known"))).drop("_set", "_known")
     if kind == "topic":
         keys = messages.select("routing_key").distinct()
         matched = keys.join(rules, matchers.topic_matches(F.col("binding_key"), F.col("routing_key"))).select("routing_key", "destination")

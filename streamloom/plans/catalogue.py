@@ -267,9 +267,9 @@ def partition_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("routing_key", hashing.murmur3(F.col("routing_key")).alias("hash"), hashing.partition_for(F.col("routing_key"), 8).cast("long").alias("partition_id"))
 
 
-@query("""select event_id, (row_number() over (partition by event_type order by ts, event_id) - 1) % 4 as partition_id from events where event_id % 2 = 1""")
+@query("""select event_id, (row_number() over (partition by event_type order by ts, event_id) - 1) % 4 as partition_id from events""")
 def partition_round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    return messages.round_robin(_msg(spark, sf).where("event_id % 2 = 1"), 4).select("event_id", "partition_id")
+    return messages.round_robin(_msg(spark, sf), 4).select("event_id", "partition_id")
 
 
 @query("""with {log} select topic, partition_id, min("offset") as log_start, max("offset") as high_watermark, count(*) as n from log group by all""")
@@ -341,9 +341,9 @@ def route_counts(spark: SparkSession, sf: str) -> DataFrame:
 _FILTERS = ["events/+", "events/#", "+/click", "#", "events/click/#", "events/+/#"]
 
 
-@query("select event_id, f as filter from events join (values " + ", ".join(f"('{f}', '{matchers.mqtt_regex(f)}')" for f in _FILTERS) + ") b(f, r) on regexp_matches('events/' || event_type || '/', r) where event_id % 3 = 0")
+@query("select event_id, f as filter from events join (values " + ", ".join(f"('{f}', '{matchers.mqtt_regex(f)}')" for f in _FILTERS) + ") b(f, r) on regexp_matches('events/' || event_type || '/', r)")
 def mqtt_filter(spark: SparkSession, sf: str) -> DataFrame:
-    m = _msg(spark, sf).where("event_id % 3 = 0").withColumn("topic", matchers.to_mqtt_topic(F.col("topic")))
+    m = _msg(spark, sf).withColumn("topic", matchers.to_mqtt_topic(F.col("topic")))
     return routing.subscriptions(m, spark.createDataFrame([(f,) for f in _FILTERS], "filter string")).select("event_id", "filter")
 
 

@@ -38,9 +38,11 @@ def publish(messages: DataFrame, topics: DataFrame, rules: Rules) -> DataFrame:
     known = messages.join(small(topics.select("topic", "mode", "partitions")), "topic", "left")
     known = known.withColumn("_a", F.when(F.octet_length("payload") > rules.most_bytes, "too_large").when(F.col("mode").isNull(), "no_topic"))
     # rows that failed already stand aside: they neither count as seen nor use up the rate
-    seen = Window.partitionBy("producer_id", "seq", F.col("_a").isNull()).orderBy("ts_ns", "event_id")
-    named = F.col("producer_id").isNotNull() & F.col("seq").isNotNull()
-    known = known.withColumn("_b", F.when(F.col("_a").isNull() & named & (F.row_number().over(seen) > 1), "duplicate"))
+    named = F.col("_a").isNull() & F.col("producer_id").isNotNull() & F.col("seq").isNotNull()
+    # unnamed rows, most of a log, are no key of their own: they spread over all tasks
+    apart = F.when(~named, F.xxhash64("event_id", "ts_ns"))
+    seen = Window.partitionBy("producer_id", "seq", apart).orderBy("ts_ns", "event_id")
+    known = known.withColumn("_b", F.when(named & (F.row_number().over(seen) > 1), "duplicate"))
     passed = F.col("_a").isNull() & F.col("_b").isNull()
     if rules.rate:
         second = Window.partitionBy("topic", F.date_trunc("second", F.col("ts")), passed).orderBy("ts_ns", "event_id")

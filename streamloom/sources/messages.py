@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..operators.ordered import numbered
 from ..schema import epoch_ns
 
 PARTITIONS = 8
@@ -46,9 +47,11 @@ def from_events(events: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
 
 
 def with_offsets(messages: DataFrame) -> DataFrame:
-    """Dense offsets from 0 in each topic partition, in order of arrival (time, then id)."""
-    order = Window.partitionBy("topic", "partition_id").orderBy("ts", "event_id")
-    return messages.withColumn("offset", (F.row_number().over(order) - 1).cast("long"))
+    """Dense offsets from 0 in each topic partition, in order of arrival (time, then id).
+
+    By prefix sums over the hours' counts: a partition of a busy topic is sorted an hour at a time.
+    """
+    return numbered(messages, ["topic", "partition_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "offset")
 
 
 def log(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
@@ -96,14 +99,8 @@ def round_robin(messages: DataFrame, partitions: int, order: list[Column | str]
     The order is total within a topic, so a topic's messages are numbered by range: a prefix sum over
     the counts of (topic, hour) and a row number within the hour; no task holds a whole topic.
     """
-    order = order or ["ts", "event_id"]
-    hours = messages.withColumn("_hour", F.date_trunc("hour", F.col("ts")))
-    counts = hours.groupBy("topic", "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("topic").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("topic", "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("topic", "_hour").orderBy(*order)
-    numbered = hours.withColumn("_r", F.row_number().over(inside) - 1).join(starts, ["topic", "_hour"])
-    return numbered.withColumn("partition_id", F.pmod(F.col("_start") + F.col("_r"), F.lit(partitions)).cast("long")).drop("_hour", "_r", "_start")
+    placed = numbered(messages, ["topic"], F.date_trunc("hour", F.col("ts")), order or ["ts", "event_id"], "_number")
+    return placed.withColumn("partition_id", F.pmod(F.col("_number"), F.lit(partitions)).cast("long")).drop("_number")
 
 
 def watermarks(log: DataFrame) -> DataFrame:

@@ -71,13 +71,15 @@ def dedup(stream: DataFrame, window_ns: int) -> DataFrame:
 
 
 class _Pairing(StatefulProcessor):
-    """Pairs an arriving row with the earliest one waiting on the other side within the window."""
+    """Pairs an arriving row with the earliest one waiting on the other side within the window.
 
-    def __init__(self, within_ns: int):
-        self.within_ns = within_ns
+    What waits expires ``ttl_ms`` after its key's last arrival, also if the key never returns."""
+
+    def __init__(self, within_ns: int, ttl_ms: int):
+        self.within_ns, self.ttl_ms = within_ns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "side string, id long, ts_ns long")
+        self.waiting = handle.getListState("waiting", "side string, id long, ts_ns long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
@@ -99,10 +101,15 @@ class _Pairing(StatefulProcessor):
         pass
 
 
-def pair_join(stream: DataFrame, within_ns: int) -> DataFrame:
-    """Greedy one-to-one pairing of one stream of both sides: key, side (L or R), id, ts_ns."""
+def pair_join(stream: DataFrame, within_ns: int, ttl_ms: int | None = None) -> DataFrame:
+    """Greedy one-to-one pairing of one stream of both sides: key, side (L or R), id, ts_ns.
+
+    State is let go of by the clock, ``ttl_ms`` (twice the window and an hour by default) after it was
+    written: ample for rows that come late, and a key that never pairs leaves nothing behind.
+    """
     ship(stream.sparkSession)
-    return stream.groupBy("key").transformWithStateInPandas(_Pairing(within_ns), "key string, left_id long, right_id long", "Append", "None")
+    keep = _Pairing(within_ns, ttl_ms or 2 * within_ns // 1_000_000 + 3_600_000)
+    return stream.groupBy("key").transformWithStateInPandas(keep, "key string, left_id long, right_id long", "Append", "None")
 
 
 class _Store(StatefulProcessor):

@@ -67,8 +67,31 @@ def test_column_matchers(spark):
     assert t.where(matchers.topic_matches(F.col("p"), F.col("k")) != F.col("want")).count() == 0
     m = spark.createDataFrame(MQTT, "p string, k string, want boolean")
     assert m.where(matchers.mqtt_matches(F.col("p"), F.col("k")) != F.col("want")).count() == 0
-    g = spark.createDataFrame([("orders.*", "orders.eu", True), ("a?c", "abc", True), ("a*", "a/b", False), ("x", "x", True), ("a.b", "axb", False)], "p string, k string, want boolean")
+    g = spark.createDataFrame(GLOB, "p string, k string, want boolean")
     assert g.where(matchers.glob_matches(F.col("p"), F.col("k")) != F.col("want")).count() == 0
+    assert all((bool(re.search(matchers.glob_regex(p), k)) or p == k) is want for p, k, want in GLOB)
+
+
+def test_crc32c_of_many_lengths():
+    values = [bytes((i * k + 3) % 256 for k in range(i * 7 % 50)) for i in range(30)]
+
+    def one(x):
+        c = 0xFFFFFFFF
+        for b in x:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    assert hashing.crc32c_of(values).tolist() == [one(v) for v in values] and len(hashing.crc32c_of([])) == 0
+
+
+GLOB = [
+    ("orders.*", "orders.eu", True), ("a?c", "abc", True), ("a*", "a/b", False), ("x", "x", True), ("a.b", "axb", False),
+    ("secret[0-9]", "secret7", True), ("secret[0-9]", "secretx", False), ("a[^b]c", "axc", True), ("a[^b]c", "abc", False),
+    ("*", "a/b", True), ("x.*", "x.a/b", True), ("x.*", "x.a/b.c", False), ("[a", "[a", True), ("[a", "a", False),
+    ("q\\*", "q*", True), ("q\\*", "qq", False), ("[\\]x]", "]", True), ("[&&b]", "&", True), ("[a-c]*z", "bqqz", True), ("[[]", "[", True),
+]
 
 
 def words_match(pattern, key):

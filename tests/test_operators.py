@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.operators import dlq, groups, guard, joins, maintenance, metrics, queues, registry, routing, topology, windows
+from streamloom.operators import dlq, groups, guard, joins, maintenance, metrics, ordered, queues, registry, routing, topology, windows
 
 T0 = dt.datetime(1970, 1, 1)
 
@@ -275,3 +275,24 @@ def test_compaction_and_retention(spark):
 def test_counter_rate(spark):
     s = spark.createDataFrame([("n", 0, 10), ("n", 10_000_000_000, 30), ("n", 20_000_000_000, 5)], "node string, ts_ns long, value long")
     assert [r.per_second for r in metrics.counter_rate(s, ["node"]).orderBy("ts_ns").collect()] == [None, 2.0, 0.5]
+
+
+def test_numbers_and_segments_of_a_hot_key(spark):
+    """Prefix sums over buckets against one pass over the rows, nulls in key and time included."""
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, *range(-5000, 5000, 13)]), i) for i in range(600)]
+    df = spark.createDataFrame(data, "key string, at long, id long")
+    got = {r.id: r.n for r in ordered.numbered(df, ["key"], F.floor(F.col("at") / 100), ["at", "id"], "n").collect()}
+    seen, want = {}, {}
+    for key, at, i in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[i] = seen.get(key, 0)
+        seen[key] = want[i] + 1
+    assert got == want
+    for gap in (0, 1, 40, 300):
+        timed = df.where("at is not null")
+        got = {r.id: r._segment for r in ordered.segments(timed, ["key"], "at", gap).collect()}
+        last, number, want = {}, {}, {}
+        for key, at, i in sorted((r for r in data if r[1] is not None), key=lambda r: (r[1], r[2])):
+            number[key] = number.get(key, 0) + (key in last and at - last[key] > gap)
+            last[key], want[i] = at, number[key]
+        assert got == want
