@@ -73,9 +73,9 @@ def dedup(stream: DataFrame, window_ns: int) -> DataFrame:
 class _Pairing(StatefulProcessor):
     """Pairs an arriving row with the earliest one waiting on the other side within the window.
 
-    What waits expires ``ttl_ms`` after its key's last arrival, also if the key never returns."""
+    With ``ttl_ms`` what waits expires so long after its key's last arrival, also if the key never returns."""
 
-    def __init__(self, within_ns: int, ttl_ms: int):
+    def __init__(self, within_ns: int, ttl_ms: int | None):
         self.within_ns, self.ttl_ms = within_ns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -104,12 +104,13 @@ class _Pairing(StatefulProcessor):
 def pair_join(stream: DataFrame, within_ns: int, ttl_ms: int | None = None) -> DataFrame:
     """Greedy one-to-one pairing of one stream of both sides: key, side (L or R), id, ts_ns.
 
-    State is let go of by the clock, ``ttl_ms`` (twice the window and an hour by default) after it was
-    written: ample for rows that come late, and a key that never pairs leaves nothing behind.
+    With ``ttl_ms`` state is let go of by the clock so long after it was written, so a key that never pairs
+    leaves nothing behind: for streams without an end, run by a processing-time trigger (a run over what is
+    available never ends under the clock's mode, and needs no expiry).
     """
     ship(stream.sparkSession)
-    keep = _Pairing(within_ns, ttl_ms or 2 * within_ns // 1_000_000 + 3_600_000)
-    return stream.groupBy("key").transformWithStateInPandas(keep, "key string, left_id long, right_id long", "Append", "None")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return stream.groupBy("key").transformWithStateInPandas(_Pairing(within_ns, ttl_ms), "key string, left_id long, right_id long", "Append", mode)
 
 
 class _Store(StatefulProcessor):
