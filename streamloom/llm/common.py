@@ -23,6 +23,7 @@ SHINGLE = 5
 SLICE_BYTES = 2_000_000
 
 _staged: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 # ------------------------------------------------------------------ driver side
@@ -31,12 +32,14 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one if unset.
 
-    The temporary folder is for a single machine only (tests, notebooks); a cluster names its own.
+    The temporary folder is for a session on one machine (tests, notebooks); a cluster has to name its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = Path(tempfile.mkdtemp(prefix="streamloom-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or Path(tempfile.mkdtemp(prefix="streamloom-")).as_uri()
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -71,8 +74,8 @@ def _sweep() -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone by now
-            return
+        except Exception:  # the session may be gone by now; the next path may belong to another
+            continue
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,70 +17,120 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Seeds of the items scanned for at once; bounds what is broadcast and held on the driver.
 BLOCK_SEEDS = 1_000_000
+#: Pairs of a document's windows and items counted at once.
+SEEDS_AT_ONCE = 1_000_000
 
 
-def tiles(doc_at: np.ndarray, item_at: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in document, start in item, words) of the tiles marked, in order.
+_M = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 
-    ``doc_at`` and ``item_at`` are the places where a window of ``least`` words of the document has
-    the running hash of one of the item.  Windows that follow each other on both sides form the maximal
-    matches.  The longest is marked first (ties: the earliest in the item, then in the document); what
-    is left of a match after its words were partly marked goes back to wait its turn.
+
+class _Rolling:
+    """Karp-Rabin hashes of the windows of a word sequence, of any length, from prefix sums modulo 2**64."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        up, self.down = (np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (_M, _INVERSE))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * up[:n], out=self.sums[1:])
+        self.words, self.free = words, np.ones(n, bool)
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows without a marked word, and their hashes."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[length:] == taken[: len(taken) - length]) if length <= len(self.words) else np.zeros(0, np.int64)
+        return at, (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of word hashes: (start in document, start in item, words) of
+    the tiles marked, in order.
+
+    The longest match of unmarked words is marked again and again (ties: the earliest in the item, then in
+    the document) until none has ``least`` words.  Its length is found by running Karp-Rabin over windows of
+    falling length: a match of some length holds matches of every lesser one, so halving finds the greatest.
+    A match's words are compared before it is marked.  Memory is linear in the two sequences, however often
+    they repeat themselves.
     """
-    if not len(doc_at):
-        return []
-    order = np.lexsort((doc_at, doc_at - item_at))
-    d, i = doc_at[order].astype(np.int64), item_at[order].astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (np.diff(d - i) != 0) | (np.diff(d) != 1)])
-    lengths = np.diff(np.r_[new, len(d)]) + least - 1
-    heap = [(-n, b, a) for n, b, a in zip(lengths.tolist(), i[new].tolist(), d[new].tolist(), strict=True)]
-    heapq.heapify(heap)
-    doc_used: set[int] = set()
-    item_used: set[int] = set()
+    d, i = _Rolling(doc), _Rolling(item)
+    # words in no shared window of the least length can never be part of a tile
+    (at, found), (_, wanted) = d.windows(least), i.windows(least)
+    cover = np.zeros(len(doc) + 1, np.int64)
+    hit = at[np.isin(found, wanted)]
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + least, -1)
+    d.free = np.cumsum(cover)[:-1] > 0
+
+    def match(length: int) -> tuple[int, int] | None:
+        (at, found), (to, wanted) = d.windows(length), i.windows(length)
+        order = np.argsort(found, kind="stable")  # equal hashes: the earliest in the document first
+        found, at = found[order], at[order]
+        low, high = np.searchsorted(found, wanted, "left"), np.searchsorted(found, wanted, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            for a in at[low[k] : high[k]].tolist():
+                if np.array_equal(doc[a : a + length], item[to[k] : to[k] + length]):
+                    return a, int(to[k])
+        return None
+
     marked = []
-    while heap:
-        n, b, a = heapq.heappop(heap)
-        free = [a + k not in doc_used and b + k not in item_used for k in range(-n)]
-        if all(free):
-            marked.append((a, b, -n))
-            doc_used.update(range(a, a - n))
-            item_used.update(range(b, b - n))
-            continue
-        at = None
-        for k, ok in enumerate([*free, False]):
-            if ok and at is None:
-                at = k
-            elif not ok and at is not None:
-                if k - at >= least:
-                    heapq.heappush(heap, (at - k, b + at, a + at))
-                at = None
+    most = min(len(doc), len(item))
+    while most >= least:
+        best, low, high = match(least), least, most
+        if best is None:
+            break
+        while low < high:
+            middle = (low + high + 1) // 2
+            if found := match(middle):
+                best, low = found, middle
+            else:
+                high = middle - 1
+        a, b = best
+        marked.append((a, b, low))
+        d.free[a : a + low] = False
+        i.free[b : b + low] = False
+        most = low
     return marked
 
 
 class Seeds:
-    """Windows of a block of benchmark items by hash."""
+    """Windows of a block of benchmark items by hash, and the items' words."""
 
     def __init__(self, ids: list, texts: list[str], least: int):
         w = common.Words(pa.array(texts, pa.string()))
         hashes, at = w.shingles(least)
         self.ids, self.least = ids, least
+        self.sequence, self.first = w.hashes, w.first
         self.words = np.diff(w.first)
         item = np.repeat(np.arange(len(ids)), np.diff(at))
-        place = np.arange(len(hashes)) - at[item]
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        bits = max(16, int(len(hashes) * 16).bit_length())
+        # an item's equal windows are one seed that counts for all of them
+        order = np.lexsort((item, hashes))
+        hashes, item = hashes[order], item[order]
+        new = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])]) if len(order) else order
+        self.hashes, self.item, self.times = hashes[new], item[new], np.diff(np.r_[new, len(hashes)])
+        bits = max(16, int(len(self.hashes) * 16).bit_length())
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, dtype=bool)
-        self.filter[hashes >> self.shift] = True
-
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``hashes``, row of the seed table) of every shared window."""
-        at = np.flatnonzero(self.filter[hashes >> self.shift])
-        lo = np.searchsorted(self.hashes, hashes[at], side="left")
-        n = np.searchsorted(self.hashes, hashes[at], side="right") - lo
-        rows = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else lo
-        return np.repeat(at, n), rows
+        self.filter[self.hashes >> self.shift] = True
+
+    def candidates(self, hashes: np.ndarray, coverage: float) -> np.ndarray:
+        """Items whose windows among ``hashes`` (a document's) are enough to cover their share, counted over
+        some seeds at a time: no list of all pairs of windows and items is made."""
+        own = np.unique(hashes[self.filter[hashes >> self.shift]])
+        low = np.searchsorted(self.hashes, own, "left")
+        n = np.searchsorted(self.hashes, own, "right") - low
+        low, n = low[n > 0], n[n > 0]
+        if not len(n):
+            return np.zeros(0, np.int64)
+        held = np.zeros(len(self.ids), np.int64)
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEEDS_AT_ONCE, side="right")))
+            part = n[at:to]
+            rows = np.repeat(low[at:to] - np.cumsum(part) + part, part) + np.arange(part.sum())
+            held += np.bincount(self.item[rows], self.times[rows], minlength=len(held)).astype(np.int64)
+            at = to
+        return np.flatnonzero((held > 0) & (held * self.least >= coverage * self.words))
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, least: int) -> Iterator[Seeds]:
@@ -125,9 +174,17 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, .
 
 
 def without_contaminated(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = MIN_MATCH) -> DataFrame:
-    """The rows of ``df`` that hold no item by the rule of ``find``; nothing is shuffled."""
+    """The rows of ``df`` that hold no item by the rule of ``find``, with its columns; nothing is shuffled.
+
+    A single block of items is lazy; of several, the rows left are staged after each but the last, so one
+    block is held at a time.  Nulls, repeats and empty tables as in ``find``; column names do not matter.
+    """
     common.ship(df.sparkSession)
+    seeds = None
     for block in _blocks(items, item_id, item_text, least):
+        if seeds is not None:
+            df = common.stage(df, "uncontaminated")
+            seeds.unpersist()
         seeds = df.sparkSession.sparkContext.broadcast(block)
         at = df.columns.index(text)
 
@@ -144,23 +201,17 @@ def without_contaminated(df: DataFrame, items: DataFrame, text: str = "text", it
 def _pairs(column: pa.Array, seeds: Seeds, coverage: float) -> Iterator[tuple]:
     """(row, item id, coverage, words of the item, tiles) of each pair that reaches ``coverage``."""
     for a, b in common.slices(column):
-        hashes, at = common.Words(column.slice(a, b - a)).shingles(seeds.least)
-        place, row = seeds.hits(hashes)
-        if not len(place):
-            continue
-        doc = np.searchsorted(at, place, side="right") - 1
-        item = seeds.item[row]
-        order = np.lexsort((item, doc))
-        doc, item, d, i = doc[order], item[order], (place - at[doc])[order], seeds.place[row][order]
-        cuts = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0), True])
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            n = int(seeds.words[item[x]])
-            if np.unique(i[x:y]).size * seeds.least < coverage * n:  # too few windows to reach it
-                continue
-            marked = tiles(d[x:y], i[x:y], seeds.least)
-            covered = sum(t[2] for t in marked) / n
-            if covered >= coverage:
-                yield a + int(doc[x]), seeds.ids[item[x]], covered, n, marked
+        words = common.Words(column.slice(a, b - a))
+        hashes, at = words.shingles(seeds.least)
+        hit = np.add.reduceat(np.r_[seeds.filter[hashes >> seeds.shift], False].astype(np.int64), at[:-1]) * (np.diff(at) > 0) if len(hashes) else np.zeros(b - a)
+        for doc in np.flatnonzero(hit).tolist():
+            own = words.hashes[words.first[doc] : words.first[doc + 1]]
+            for item in seeds.candidates(hashes[at[doc] : at[doc + 1]], coverage).tolist():
+                n = int(seeds.words[item])
+                marked = tiles(own, seeds.sequence[seeds.first[item] : seeds.first[item + 1]], seeds.least)
+                covered = sum(t[2] for t in marked) / n
+                if covered >= coverage:
+                    yield a + doc, seeds.ids[item], covered, n, marked
 
 
 def _scan(source: DataFrame, block: Seeds, coverage: float) -> DataFrame:

@@ -1,7 +1,8 @@
 """Jaccard self-join of documents on word shingles: a chosen-path join, then exact verification.
 
 1. Equal texts are folded into one representative; every representative gets a min-hash signature.
-2. Chosen path: in each of ``runs`` independent trees, a node picks coordinates of the signature at
+2. Chosen path: in each of some independent trees (as many as the
+   target recall asks for), a node picks coordinates of the signature at
    random (1 / threshold of them on average) and deals its members out by their value there.  A pair of
    similarity s goes the same way with probability s, so pairs at the threshold are expected to stay
    together at every level while others part.  Small nodes are compared by brute force on signatures,
@@ -26,13 +27,15 @@ from . import common
 
 THRESHOLD = 0.8
 #: Coordinates of a signature, independent trees, and the most levels of a tree.
-COORDINATES, RUNS, DEPTH = 64, 16, 6
+COORDINATES, DEPTH = 64, 6
+#: Share of the links at the threshold itself that the trees are to find; it sets how many are grown.
+RECALL = 0.99
 #: Members of a node that are compared by brute force.
 LEAF = 96
 #: Share of agreeing coordinates that makes a candidate: over four deviations under the threshold.
 CANDIDATE = 0.5625
-#: Representatives in a block of a large cluster, and the most blocks unless they would outgrow memory.
-BLOCK, BLOCKS, BLOCK_MOST = 192, 64, 20_000
+#: Representatives in a block of a cluster, whatever its size.
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -62,6 +65,19 @@ def children(path: np.ndarray, signature: np.ndarray, threshold: float) -> tuple
     return np.concatenate(rows), np.concatenate(paths)
 
 
+def runs_for(recall: float, threshold: float, depth: int) -> int:
+    """Trees that find a pair of similarity ``threshold`` with probability ``recall``.
+
+    Worst case: no node gets small before the last level.  With e(k) the chance that no path of k levels
+    keeps the pair together, e(0) = 0 and e(k + 1) = (1 - p (1 - e(k))) ** n for the n coordinates that
+    agree, each picked with probability p.
+    """
+    lost, p, n = 0.0, 1 / (threshold * COORDINATES), threshold * COORDINATES
+    for _ in range(depth):
+        lost = (1 - p * (1 - lost)) ** n
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(lost))))
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each one's component, given pairs within 0 to n - 1."""
     root = np.arange(n)
@@ -106,10 +122,10 @@ def representatives(df: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, D
     return signed.select("id", "k1", "k2"), common.stage(chosen, "representatives")
 
 
-def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
+def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """Candidate links (a, b) between representatives; every candidate pair is connected by them."""
     spark = reps.sparkSession
-    roots = common.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    roots = common.mix(np.arange(1, runs_for(recall, threshold, depth) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def deal(rid: np.ndarray, path: np.ndarray, size: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
         """Rows of the children, each with the size of the node it comes from."""
@@ -204,7 +220,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``members``: cluster, size, rid, text.  ``root`` is the least member linked to it within the block
     pair, itself if none; ``n_links`` counts its links there, each pair of members in one block pair.
     """
-    blocks = F.greatest(F.least(F.ceil(F.col("size") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("size") / BLOCK_MOST)).cast("int")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), F.col("g")).cast("int")
     placed = members.withColumn("g", blocks).withColumn("own", own)
     dealt = placed.select("cluster", "rid", "text", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")).select(
@@ -260,10 +276,10 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return common.spread(dealt, "cluster", "i", "j").mapInArrow(run, "rid long, root long, n_links long")
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """As ``near_duplicates``, with the text's key (k1, k2) and the class's own key (class_key)."""
     every, reps = representatives(df, text, doc_id)
-    candidates = common.components(chosen_path_edges(reps, threshold, runs, depth))
+    candidates = common.components(chosen_path_edges(reps, threshold, recall, depth))
     sizes = candidates.groupBy(F.col("label")).agg(F.count(F.lit(1)).alias("size"))
     clustered = candidates.join(sizes, "label").select(F.col("v").alias("rid"), F.col("label").alias("cluster"), "size")
     chosen = clustered.join(reps.select("rid", "id", "k1", "k2"), "rid").withColumnRenamed("id", "rep")
@@ -295,7 +311,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     return every.join(named, ["k1", "k2"]).select(F.col("id").alias(doc_id), "k1", "k2", "class_key", "class_id", "n_links", "n_copies")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id, n_links, n_copies.
 
     Documents are linked if the Jaccard similarity of their sets of five-word shingles is at least
@@ -305,10 +321,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
 
     Null text counts as empty; texts without words are linked to nothing but equal texts.  Repeated
     rows and equal ids are copies like others; a class of null ids alone has a null class_id; an empty
-    table gives no rows.  Links are found with probability above 0.999 at the threshold itself (the
-    trees are random, with fixed seeds), and each reported one is exact.
+    table gives no rows; other columns do not matter.  A link at the threshold itself is found with
+    probability ``recall`` at least, closer ones more surely (the trees are random, with fixed seeds), and
+    each reported one is exact.
     """
-    return classes(df, text, doc_id, threshold, runs, depth).select(doc_id, "class_id", "n_links", "n_copies")
+    return classes(df, text, doc_id, threshold, recall, depth).select(doc_id, "class_id", "n_links", "n_copies")
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +18,37 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
     ],
     "mit": [
         "Released under the MIT License",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
+        "You should have received a copy of the GNU General Public License along with this program",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
     ],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License"],
 }
 #: Share of a template's words that a block must contain.
 THRESHOLD = 0.8
 
 
+def stride(templates: dict[str, list[str]]) -> int:
+    """Words of the longest template.  Blocks are twice as long and begin that many words apart, so a
+    statement lies whole in one of them however its lines are broken."""
+    return max(len(re.findall(WORD, t)) for texts in templates.values() for t in texts)
+
+
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null counts as empty."""
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
@@ -89,7 +103,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     (those of the templates too; distinct, sorted, joined by commas, empty if none), score (share of
     the best template that reached ``threshold``; 1 where a phrase stands; else 0).
 
-    Blocks are lines.  Null text counts as empty; repeated rows each get a row; an empty table gives
+    Blocks are runs of words that overlap by half (see ``stride``), whatever lines they stand on.  Null text counts as empty; repeated rows each get a row; an empty table gives
     none.  Columns are taken by name, so others do not matter.
     """
     spark = df.sparkSession
@@ -113,8 +127,10 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     places = F.flatten(F.array(*[F.col(f"_p{i}") for i in range(len(names))]))
     labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(phrases[p])) for i, p in enumerate(names)]))))
     candidate = F.size("_known") >= least
-    lines = F.filter(
-        F.transform(F.split("_text", "\n"), lambda x: F.array_intersect(words(x), vocabulary)), lambda x: F.size(x) >= least
+    step = stride(templates)
+    runs = F.filter(
+        F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("_w") - 1, F.lit(0)) / step).cast("int")), lambda i: F.array_intersect(F.slice("_w", i * step + 1, 2 * step), vocabulary)),
+        lambda x: F.size(x) >= least,
     )
     staged = common.stage(
         base.withColumn("_places", places).select(
@@ -126,7 +142,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             F.array_max("_places").cast("long").alias("last_word"),
             labels.alias("_labels"),
             F.col("_known"),
-            F.when(candidate, lines).otherwise(F.array().cast("array<array<string>>")).alias("_blocks"),
+            F.when(candidate, runs).otherwise(F.array().cast("array<array<string>>")).alias("_blocks"),
         ),
         "licenses",
     )
@@ -161,6 +177,7 @@ def oracle(phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] =
     esc = lambda s: s.replace("'", "''")
     w = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
     rows = ", ".join(f"({i}, '{label}', '{esc(t)}')" for i, (label, t) in enumerate((k, t) for k, v in templates.items() for t in v))
+    step = stride(templates)
     places = " || ".join(
         "list_filter(range(0, len(w)), lambda i: " + " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split(" "))) + ")" for p in phrases
     )
@@ -170,7 +187,7 @@ with t as (select i, label, list_distinct({w('s')}) as tok from (values {rows})
 d as (select row_number() over () as rid, doc_id, text, {w('text')} as w from documents),
 e as (select *, ' ' || array_to_string(w, ' ') || ' ' as padded from d),
 b as (select *, {places} as places, list_sort(list_distinct(list_filter([{flags}], lambda x: x is not null))) as bl from e),
-l as (select rid, list_distinct({w('line')}) as lw from (select rid, unnest(string_split(text, chr(10))) as line from d)),
+l as (select rid, list_distinct(w[i * {step} + 1 : i * {step} + 2 * {step}]) as lw from (select rid, w, unnest(range(0, greatest(len(w) - 1, 0) // {step} + 1)) as i from d)),
 m as (select l.rid, t.label, len(list_intersect(l.lw, t.tok)) as overlap, len(t.tok) as n from l, t where len(list_intersect(l.lw, t.tok)) >= ceil(len(t.tok) * {threshold} - 1e-9)),
 g as (select rid, list(distinct label) as found, max(overlap / n) as best from m group by rid)
 select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word,

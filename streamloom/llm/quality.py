@@ -26,8 +26,9 @@ class Bands:
     ``whole``: (up to so many bytes, least ratio, greatest ratio) by rising length; short texts
     compress little whatever they say, so their upper limits are wide and their lower limits low.  Lower
     limits lie between the greatest ratio of base64 and the least of clean prose of that length.
-    ``chunk``: the same for each chunk of ``chunk_bytes``; a document fails if more than ``chunk_share``
-    of its chunks do.  A last chunk under a quarter of ``chunk_bytes`` joins the one before.
+    ``chunk``: limits of each chunk of ``chunk_bytes``; a document fails if more than ``chunk_share`` of its
+    chunks do.  A last chunk under a quarter of ``chunk_bytes`` joins the one before; a longer one is held
+    against the limits of its own length.  A text of a single chunk is judged as a whole alone.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
@@ -80,26 +81,56 @@ def repeat_words(found: list[bytes]) -> int:
 
 
 def ratios(raw: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """Size / compressed size of the whole text and of each fixed chunk."""
+    """Size / compressed size of the whole text and of each fixed chunk, if it has more than one."""
     if not raw:
         return 0.0, []
     whole = len(raw) / len(compressor.compress(raw))
-    if len(raw) < 2 * bands.chunk_bytes:
-        return whole, []
     cuts = list(range(0, len(raw), bands.chunk_bytes))
-    if len(raw) - cuts[-1] < bands.chunk_bytes // 4:
+    if len(cuts) > 1 and len(raw) - cuts[-1] < bands.chunk_bytes // 4:
         cuts.pop()
+    if len(cuts) < 2:
+        return whole, []
     return whole, [(b - a) / len(compressor.compress(raw[a:b])) for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
 
 def in_bands(size: int, whole: float, chunks: list[float], bands: Bands) -> bool:
-    low, high = next((lo, hi) for most, lo, hi in bands.whole if size <= most)
+    def limits(n: int) -> tuple[float, float]:
+        return next((lo, hi) for most, lo, hi in bands.whole if n <= most)
+
+    low, high = limits(size)
     if not low <= whole <= high:
         return False
-    outside = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in chunks)
+    last = size - (len(chunks) - 1) * bands.chunk_bytes
+    bounds = [bands.chunk] * (len(chunks) - 1) + [bands.chunk if last >= bands.chunk_bytes else limits(last)]
+    outside = sum(not lo <= x <= hi for x, (lo, hi) in zip(chunks, bounds[: len(chunks)], strict=True))
     return outside <= bands.chunk_share * len(chunks)
 
 
+def verdict(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple:
+    """All that ``judge`` says of a text."""
+    base = counts(text)
+    failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
+    raw = text.encode("utf-8", "surrogatepass")
+    whole, chunks = ratios(raw, bands, compressor)
+    worst = max(chunks, key=lambda r: abs(r - 1.0), default=None)
+    return *base, failed, whole, len(chunks), worst, not failed and in_bands(len(raw), whole, chunks, bands)
+
+
+def kept(df: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, with their columns and no others, whatever their names."""
+    common.ship(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=bands.level)
+        for batch in batches:
+            for a, b in common.slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array([verdict(x or "", bands, compressor)[-1] for x in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def judge(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bands: Bands = Bands()) -> DataFrame:
     """Counts and verdict of every text; one row for each row of ``df``, no shuffle.
 
@@ -112,25 +143,17 @@ def judge(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     common.ship(df.sparkSession)
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, n_chunks long, worst_chunk double, kept boolean"
     source = df.select(*keep, df[text].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    names_kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for a, b in common.slices(column):
-                out = []
-                for x in column.slice(a, b - a).to_pylist():
-                    x = x or ""
-                    base = counts(x)
-                    failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-                    raw = x.encode("utf-8", "surrogatepass")
-                    whole, chunks = ratios(raw, bands, compressor)
-                    worst = max(chunks, key=lambda r: abs(r - 1.0), default=None)
-                    out.append((*base, failed, whole, len(chunks), worst, not failed and in_bands(len(raw), whole, chunks, bands)))
+                out = [verdict(x or "", bands, compressor) for x in column.slice(a, b - a).to_pylist()]
                 kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
                 made = [pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)]
                 names = [f.split()[0] for f in fields.split(", ")]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], *made], [*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, f"{kept}, {fields}" if kept else fields)
+    return source.mapInArrow(run, f"{names_kept}, {fields}" if names_kept else fields)

@@ -100,14 +100,25 @@ def test_tiles_equal_plain_tiling(spark):
         cut = rng.randrange(5, 20)
         doc = [rng.choice("xyz") for _ in range(6)] + item[cut:] + ["q"] + item[:cut] + item[3:12]
         rng.random() < 0.5 and doc.insert(9, "w")
-        seeds = decontamination.Seeds([1], [" ".join(item)], 5)
-        hashes, _ = common.Words(pa.array([" ".join(doc)])).shingles(5)
-        place, row = seeds.hits(hashes)
-        got = decontamination.tiles(place, seeds.place[row], 5)
+        x, y = (common.Words(pa.array([" ".join(t)])).hashes for t in (doc, item))
+        got = decontamination.tiles(x, y, 5)
         assert sum(t[2] for t in got) == plain_tiles(doc, item, 5)
         assert all(doc[a : a + n] == item[b : b + n] for a, b, n in got)
 
 
+def test_repeated_words_cost_no_product(spark):
+    """A text of one word against an item of it, and many items with a shared opening: memory stays small."""
+    started = time.monotonic()
+    same = decontamination.Seeds([1], ["w " * 400], 5)
+    found = list(decontamination._pairs(pa.array(["w " * 32_000]), same, 0.5))
+    assert [(x[0], x[1], x[2]) for x in found] == [(0, 1, 1.0)]
+    rng = random.Random(3)
+    opening = words(rng, 20)
+    many = decontamination.Seeds(list(range(20_000)), [f"{opening} {words(rng, 30)}" for _ in range(20_000)], 5)
+    assert list(decontamination._pairs(pa.array([f"{words(rng, 9)} {opening}"] * 20), many, 0.5)) == []
+    assert time.monotonic() - started < 60
+
+
 def test_find_contaminated(spark, docs, odd, monkeypatch):
     rng = random.Random(2)
     a, b, c = words(rng, 30), words(rng, 20), "too short"
@@ -515,6 +526,35 @@ def test_pipeline(spark, sf, tmp_path):
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "benchmark_leaks", "token_ids"]
 
 
+def test_pipeline_with_clashing_columns_and_without_rows(spark, tmp_path, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit(1) for c in ("kept", "ratio", "n_words", "_text", "class_id", "rid", "k1", "id", "text_key", "places")})
+    out = docs.limit(40)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stage(stage(spark, out, sf), "s")
+        assert out.columns == docs.columns
+    assert out.count() > 0
+    folder = tmp_path / "empty"
+    docs.where("false").write.parquet(str(folder / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(folder)).count() == 0
+
+
+def test_runs_for_a_recall():
+    assert [jaccard_join.runs_for(r, 0.8, 6) for r in (0.9, 0.99, 0.999)] == [9, 17, 26]
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs of texts at Jaccard 0.8 or just above, each pair a class of its own."""
+    rng, texts = random.Random(41), []
+    for _ in range(400):
+        x = words(rng, 103).split()
+        y = list(x)
+        y[30], y[60] = words(rng, 1), words(rng, 1)  # 89 of 109 shingles shared
+        texts += [" ".join(x), " ".join(y)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA)).where("n_links = 1").count()
+    assert got >= 2 * 0.99 * 400
+
+
 def test_pipeline_decisions(spark, tmp_path, sf):
     rng = random.Random(7)
     p, item = words(rng, 60), next(iter(spark.read.parquet(f"{sf}/benchmark.parquet").limit(1).collect())).text
