@@ -102,6 +102,7 @@ class Seeds:
         self.sequence, self.first = w.hashes, w.first
         self.words = np.diff(w.first)
         item = np.repeat(np.arange(len(ids)), np.diff(at))
+        self.in_order, self.at = hashes, at
         # an item's equal windows are one seed that counts for all of them
         order = np.lexsort((item, hashes))
         hashes, item = hashes[order], item[order]
@@ -130,7 +131,30 @@ class Seeds:
             rows = np.repeat(low[at:to] - np.cumsum(part) + part, part) + np.arange(part.sum())
             held += np.bincount(self.item[rows], self.times[rows], minlength=len(held)).astype(np.int64)
             at = to
-        return np.flatnonzero((held > 0) & (held * self.least >= coverage * self.words))
+        items = np.flatnonzero((held > 0) & (held * self.least >= coverage * self.words))
+        return self._coverable(items, own, coverage) if len(items) else items
+
+    def _coverable(self, items: np.ndarray, own: np.ndarray, coverage: float) -> np.ndarray:
+        """Those of ``items`` whose words in some window of ``own`` reach their share: no tiling covers more."""
+        out = []
+        ends = np.cumsum(self.words[items])
+        at = 0
+        while at < len(items):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEEDS_AT_ONCE, side="right")))
+            part = items[at:to]
+            n, words = self.at[part + 1] - self.at[part], self.words[part]
+            before = np.cumsum(words) - words  # the part's items' words, one after the other
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            seeds = self.in_order[np.repeat(self.at[part], n) + place]
+            shared = own[np.minimum(np.searchsorted(own, seeds), len(own) - 1)] == seeds
+            first = (np.repeat(before, n) + place)[shared]
+            cover = np.zeros(words.sum() + 1, np.int64)
+            cover[: words.sum()] += np.bincount(first, minlength=words.sum())
+            cover -= np.bincount(first + self.least, minlength=len(cover))
+            covered = np.add.reduceat((np.cumsum(cover) > 0).astype(np.int64), before)
+            out.append(part[covered >= coverage * words])
+            at = to
+        return np.concatenate(out)
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, least: int) -> Iterator[Seeds]:
