@@ -25,8 +25,8 @@ class Bands:
 
     ``whole``: (up to so many bytes, least ratio, greatest ratio) by rising length; short texts
     compress little whatever they say, so their limits are wide.  Lower limits lie between the greatest
-    ratio of base64 and the least of clean prose of that length, upper limits just above the greatest ratio
-    of clean prose: lists and chains of marks repeat more.
+    ratio of base64 and the least of clean prose of that length, upper limits from 1 kB on just above the
+    greatest ratio of clean prose: lists and chains of marks repeat more.
     ``chunk``: limits of each chunk of ``chunk_bytes``; a document fails if more than ``chunk_share`` of its
     chunks do.  A last chunk under a quarter of ``chunk_bytes`` joins the one before; a longer one is held
     against the limits of its own length.  A text of a single chunk is judged as a whole alone.
@@ -34,10 +34,10 @@ class Bands:
 
     whole: tuple[tuple[float, float, float], ...] = (
         (128, 0.0, 2.0),
-        (192, 1.05, 2.0),
-        (256, 1.12, 2.0),
-        (512, 1.25, 1.85),
-        (1024, 1.35, 2.05),
+        (192, 1.05, 2.4),
+        (256, 1.12, 2.4),
+        (512, 1.25, 2.4),
+        (1024, 1.35, 2.6),
         (2048, 1.45, 2.17),
         (4096, 1.55, 2.28),
         (8192, 1.65, 2.45),
