@@ -369,6 +369,20 @@ def test_next_holder(spark):
     assert found == {(i + 3, i + 2) for i in range(0, 120, 3)}
 
 
+def test_holder_behind_many(spark):
+    """However many unlike versions hold the signatures first, the verbatim pair behind them is found."""
+    rng, texts, n = random.Random(35), [], 9
+    for _ in range(20):
+        copy = words(rng, 55).split()
+        for _ in range(n - 2):
+            near = list(copy)
+            near[18], near[36] = words(rng, 1), words(rng, 1)
+            texts.append(" ".join(near))
+        texts += [f"{words(rng, 30)} {' '.join(copy)}", f"{' '.join(copy)} {words(rng, 30)}"]
+    found = {(r.doc_id, r.kept_id) for r in substrings.find(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert found == {(i + n, i + n - 1) for i in range(0, 20 * n, n)}
+
+
 def test_cut_of_repeated_ids(spark):
     rng = random.Random(35)
     p, other = words(rng, 60), words(rng, 100)
