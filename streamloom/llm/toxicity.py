@@ -1,5 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained and run in numpy.
 
+Training reads every labelled row: shards of them are gone over in parallel and the models averaged after
+each round; counts and thresholds come from all rows.
+
 Words are hashed into buckets with an embedding each; filters of several widths slide over them, a
 rectifier and the maximum over the text follow, and a logistic unit weighs the maxima.  Thresholds are
 calibrated by language, which is guessed from function words of the text alone.
@@ -7,7 +10,7 @@ calibrated by language, which is guessed from function words of the text alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +22,12 @@ from . import common
 
 #: Hash buckets, embedding size, filters of each width, widths.
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
-#: Labelled rows of each class that training reads at most; a bucket needs so many of them to count.
-SAMPLE, MIN_DOCS = 4000, 6
+#: A bucket needs so many labelled texts to count.
+MIN_DOCS = 6
+#: Labelled rows and words that one task trains on, about, and how often the tasks' models are averaged.
+SHARD_ROWS, SHARD_WORDS, ROUNDS = 8000, 8_000_000, 4
+#: Bins of a logit in calibration, over this span on both sides of 0.
+BINS, SPAN = 4096, 32.0
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
 #: Steps that training takes at least.
 STEPS = 300
@@ -70,6 +77,20 @@ class Classifier:
             rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32),
         )
 
+    def copy(self) -> Classifier:
+        return Classifier(self.embed.copy(), {w: f.copy() for w, f in self.filters.items()}, {w: b.copy() for w, b in self.bias.items()}, self.out.copy(), self.prior, self.thresholds.copy())
+
+    def packed(self) -> np.ndarray:
+        """All that training changes, as one array."""
+        return np.concatenate([x.reshape(-1) for x in (self.embed, *self.filters.values(), *self.bias.values(), self.out)]).astype(np.float64)
+
+    def unpack(self, values: np.ndarray) -> None:
+        """Take over an array that ``packed`` made."""
+        at = 0
+        for x in (self.embed, *self.filters.values(), *self.bias.values(), self.out):
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+
     def maps(self, buckets: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
         """Rectified filter outputs at every place; 0 where a window would leave its text."""
         vectors = self.embed[buckets]
@@ -131,7 +152,7 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     return model
 
 
-def _descend(model: Classifier, buckets: np.ndarray, first: np.ndarray, y: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> None:
+def _descend(model: Classifier, buckets: np.ndarray, first: np.ndarray, y: np.ndarray, rows: np.ndarray, rng: np.random.Generator, epochs: int | None = None) -> None:
     """Adam over mini-batches; only the places that win the maximum pass a gradient on."""
     known = np.abs(model.embed).sum(axis=1) > 0
     names = ["embed", "out", *[("f", w) for w in WIDTHS], *[("b", w) for w in WIDTHS]]
@@ -141,7 +162,7 @@ def _descend(model: Classifier, buckets: np.ndarray, first: np.ndarray, y: np.nd
     # the rarer class is drawn again until it makes up a third, and few rows are gone over more often
     rare = rows[y[rows] == (y[rows].mean() < 0.5)]
     again = max(0, (len(rows) - len(rare)) // 2 - len(rare)) if len(rare) else 0
-    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(rows) + again)))
+    epochs = epochs or max(EPOCHS, -(-STEPS * BATCH // (len(rows) + again)))
     for _ in range(epochs):
         drawn = np.concatenate([rows, rng.choice(rare, again)]) if again else rows
         for part in np.array_split(rng.permutation(drawn), -(-len(drawn) // BATCH)):
@@ -200,22 +221,137 @@ def _calibrate(model: Classifier, buckets: np.ndarray, first: np.ndarray, lang:
             model.thresholds[k] = best(own)
 
 
-def sample(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = SAMPLE) -> tuple[list[str], list[int], tuple[float, float]]:
-    """Up to ``most`` labelled rows of each class, those with the least hash of the id.
+def _summed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], size: int) -> np.ndarray:
+    """The sum of the (shard, array of ``size``) that ``run`` makes of the partitions, added in parts by the
+    executors in the order of shards, so that it is the same each time."""
+    width = -(-size // 64)
+    parts = "part int, shard long, value binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, value in run(batches):
+            made = [value[k * width : (k + 1) * width].astype(np.float64).tobytes() for k in range(64)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "shard": pa.array([shard] * 64, pa.int64()), "value": pa.array(made, pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(value, dtype=np.float64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "shard": pa.array([0] * len(total), pa.int64()), "value": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    out = np.zeros(64 * width)
+    for row in rows.mapInArrow(cut, parts).repartition(8, "part").sortWithinPartitions("part", "shard").mapInArrow(add, parts).collect():
+        value = np.frombuffer(row["value"], dtype=np.float64)
+        out[row["part"] * width : row["part"] * width + len(value)] = value
+    return out[:size]
+
+
+_ROWS = "i long, y int, lang int, words int, held boolean, buckets binary"
+
+
+def labelled(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Every labelled text once, as the buckets of its words; a fifth of them is held for calibration.
+
+    Rows with a null id or label, or with two labels, are left out.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z and y in (0, 1)").select(F.col(doc_id).alias("i"), F.col("y").cast("int").alias("y"))
+    rows = df.select(df[doc_id].alias("i"), df[text].alias("t")).join(known, "i").dropDuplicates(["i"])
+    rows = rows.select(F.xxhash64("i").alias("i"), "y", (F.pmod(F.xxhash64("i", F.lit("held")), F.lit(5)) == 0).alias("held"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            for a, b in common.slices(column, common.SLICE_BYTES // 2):
+                buckets, first, lang = _buckets(column.slice(a, b - a))
+                made = pa.array([buckets[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(lang, pa.int32()), pa.array(np.diff(first), pa.int32()), own.column(2), made], ["i", "y", "lang", "words", "held", "buckets"])
+
+    return rows.mapInArrow(run, _ROWS)
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """buckets, where each text begins, labels and languages of rows of ``labelled``."""
+    parts = [np.frombuffer(x, dtype=np.int32) for x in table.column("buckets").to_pylist()]
+    first = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
+    return np.concatenate([*parts, np.zeros(0, np.int32)]), first, table.column("y").to_numpy().astype(np.float32), table.column("lang").to_numpy()
+
 
-    The bound keeps what the driver trains on the same at every size of the input.  Rows with a null id
-    or label, or with two labels, are left out.
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", seed: int = 7) -> Classifier:
+    """A classifier trained on every labelled row of ``df``, whatever their number; nothing is sampled.
+
+    Shards of about ``SHARD_ROWS`` rows are trained on by a task each, from the same model; the results are
+    averaged by rows, ``ROUNDS`` times.  The driver holds one model.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select(F.col(doc_id).alias("i"), F.col("y").cast("int").alias("y"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = df.select(df[doc_id].alias("i"), df[text].alias("t")).join(F.broadcast(picked), "i").dropDuplicates(["i"]).orderBy("i").collect()  # at most 2 * most rows
-    ys = [r["y"] for r in rows]
-    weights = tuple(totals.get(y, 0) / max(1, ys.count(y)) for y in (0, 1))
-    return [r["t"] or "" for r in rows], ys, weights
+    spark = df.sparkSession
+    common.ship(spark)
+    rows = common.stage(labelled(df, labels, text, doc_id, label), "labelled")
+    totals = {r["held"]: r for r in rows.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum(F.col("words").cast("long")).alias("words")).collect()}
+    rng = np.random.default_rng(seed)
+    if False not in totals:
+        return train([], [], seed=seed)
+    n, positive, words = totals[False]["n"], totals[False]["y"], totals[False]["words"]
+    fitted = rows.where("not held")
+
+    def texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        total = np.zeros(BUCKETS)
+        for batch in batches:
+            for x in batch.column("buckets").to_pylist():
+                total[np.unique(np.frombuffer(x, dtype=np.int32))] += 1
+        yield 0, total
+
+    model = Classifier.fresh(_summed(fitted, texts_with, BUCKETS) >= MIN_DOCS, rng)
+    share = float(np.clip(positive / n, 0.01, 0.99))
+    model.prior = float(np.log(share / (1 - share)))
+    shards = max(1, -(-n // SHARD_ROWS), -(-words // SHARD_WORDS))
+    rounds = ROUNDS if shards > 1 else 1
+    dealt = common.stage(fitted.withColumn("shard", F.pmod("i", F.lit(shards))).repartition(int(shards), "shard").sortWithinPartitions("shard", "i").select("shard", "i", "y", "lang", "buckets"), "shards") if shards > 1 else None
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+        source = (dealt if dealt is not None else fitted.withColumn("shard", F.lit(0).cast("long")).select("shard", "i", "y", "lang", "buckets")).repartition(int(shards), "shard").sortWithinPartitions("shard", "i")
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+            for table, at in common.complete_groups(batches, 1):
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = table.slice(x, y - x)
+                    shard = own.column("shard")[0].as_py()
+                    buckets, first, classes, _ = _unpacked(own)
+                    mine = sent.value.copy()
+                    _descend(mine, buckets, first, classes, np.arange(y - x), np.random.default_rng([seed, k, shard]), EPOCHS // ROUNDS if shards > 1 else None)
+                    yield shard, np.r_[mine.packed() * (y - x), y - x]
+
+        total = _summed(source, learn, len(model.packed()) + 1)
+        model.unpack(total[:-1] / total[-1])
+    calibrating = rows.where("held") if True in totals and totals[True]["n"] >= 50 else rows
+    sent = spark.sparkContext.broadcast(model)
+    languages = len(FUNCTION_WORDS) + 1
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        total = np.zeros((languages, 2, BINS))
+        for batch in batches:
+            buckets, first, classes, lang = _unpacked(batch)
+            z = np.clip((sent.value.logits(buckets, first) + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
+            np.add.at(total, (lang, classes.astype(np.int64), z), 1)
+        yield 0, total.reshape(-1)
+
+    _thresholds(model, _summed(calibrating, binned, languages * 2 * BINS).reshape(languages, 2, BINS))
+    return model
+
+
+def _thresholds(model: Classifier, counts: np.ndarray) -> None:
+    """As ``_calibrate``, from counts of logits by language, class and bin; a threshold is a bin's lower end."""
+
+    def best(own: np.ndarray) -> float:
+        hit, called = np.cumsum(own[1][::-1]), np.cumsum(own.sum(axis=0)[::-1])
+        f1 = 2 * hit / (called + hit[-1])
+        top = np.flatnonzero(f1 >= f1.max() - 1e-9)
+        return float((BINS - 1 - top[len(top) // 2]) * (2 * SPAN / BINS) - SPAN)
+
+    overall = best(counts.sum(axis=0)) if counts[:, 1].any() else float(np.log(CUT / (1 - CUT)))
+    model.thresholds = np.full(len(counts), overall, dtype=np.float32)
+    for k in range(len(FUNCTION_WORDS)):
+        if counts[k, 1].sum() >= 20:
+            model.thresholds[k] = best(counts[k])
 
 
 def score(df: DataFrame, model: Classifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

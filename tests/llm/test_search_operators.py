@@ -514,6 +514,26 @@ def test_toxicity_without_labels():
     assert 0 <= m.scores(pa.array(["anything"]))[0] <= 1
 
 
+def test_toxicity_reads_every_label(spark, monkeypatch):
+    """More rows than one shard holds: all of them train, a word of the last few included."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 300)
+    rng = random.Random(4)
+    usual = [words(rng, 1) for _ in range(100)]
+    data = []
+    for i in range(1500):
+        t = [rng.choice(usual) for _ in range(20)]
+        y = int(i % 3 == 0)
+        data.append((i, " ".join([*t, rng.choice(["badword", "worse"])] if y else t), y))
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    assert toxicity.labelled(df, labels).count() == 1500
+    m, again = toxicity.fit(df, labels), toxicity.fit(df, labels)
+    said = m.scores(pa.array([t for _, t, _ in data])) >= toxicity.CUT
+    assert (said == np.array([y for *_, y in data], bool)).mean() > 0.95
+    assert np.array_equal(m.embed, again.embed) and np.array_equal(m.thresholds, again.thresholds)
+    assert toxicity.fit(df, labels.where("false")).scores(pa.array(["x"]))[0] <= 1
+
+
 def test_held_out_toxicity(spark):
     path = "/root/testdata/sf0.01"
     rows_ = queries.op10_toxicity(spark, path).where("held_out").collect()
