@@ -218,7 +218,7 @@ def without_contaminated(df: DataFrame, items: DataFrame, text: str = "text", it
                 clean[[x[0] for x in _pairs(batch.column(at), seeds.value, coverage)]] = False
                 yield batch.filter(pa.array(clean))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.mapInArrow(common.tidy(run), df.schema)
     return df
 
 
@@ -259,4 +259,4 @@ def _scan(source: DataFrame, block: Seeds, coverage: float) -> DataFrame:
                 names = ["item_id", "coverage", "n_item_words", "n_tiles", "tiles"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pick) for k in range(batch.num_columns - 1)], *made], [*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, kept + "item_id long, coverage double, n_item_words long, n_tiles long, tiles array<struct<doc_word long, item_word long, words long>>")
+    return source.mapInArrow(common.tidy(run), kept + "item_id long, coverage double, n_item_words long, n_tiles long, tiles array<struct<doc_word long, item_word long, words long>>")

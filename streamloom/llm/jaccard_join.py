@@ -117,7 +117,7 @@ def representatives(df: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, D
                 made = pa.array([r.tobytes() if f else None for r, f in zip(rows, full, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(3)], made], ["id", "k1", "k2", "signature"])
 
-    signed = common.stage(source.mapInArrow(run, f"id {kind}, k1 long, k2 long, signature binary"), "signatures")
+    signed = common.stage(source.mapInArrow(common.tidy(run), f"id {kind}, k1 long, k2 long, signature binary"), "signatures")
     chosen = signed.where("signature is not null").dropDuplicates(["k1", "k2"]).withColumn("rid", F.monotonically_increasing_id())
     return signed.select("id", "k1", "k2"), common.stage(chosen, "representatives")
 
@@ -161,7 +161,7 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: flo
 
     slim = reps.select("rid", "signature")
     dealt = "rid long, path long, parent long"
-    members = common.stage(slim.mapInArrow(first, dealt), "nodes")
+    members = common.stage(slim.mapInArrow(common.tidy(first), dealt), "nodes")
     found = []
     for level in range(1, depth + 1):
         nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.max("parent").alias("parent")).where("n > 1")
@@ -172,7 +172,7 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: flo
         nodes = common.stage(nodes.groupBy("n", "x", "alike", "own").agg(F.min("path").alias("path")).select("n", "path", "alike"), "nodes")
         small = members.join(nodes.where(F.col("n") <= LEAF).select("path"), "path").select("path", "rid")
         small = common.spread(small.join(slim, "rid").select("path", "rid", "signature"), "path")
-        found.append(common.stage(small.mapInArrow(leaves, "a long, b long"), "candidates"))
+        found.append(common.stage(small.mapInArrow(common.tidy(leaves), "a long, b long"), "candidates"))
         large = nodes.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
@@ -181,7 +181,7 @@ def chosen_path_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: flo
         least = same.groupBy("path").agg(F.min("rid").alias("b"))
         found.append(same.join(least, "path").select(F.col("rid").alias("a"), "b").where("a <> b"))
         if level < depth:
-            members = common.stage(held.where("not alike").join(slim, "rid").select("rid", "path", "n", "signature").mapInArrow(further, dealt), "nodes")
+            members = common.stage(held.where("not alike").join(slim, "rid").select("rid", "path", "n", "signature").mapInArrow(common.tidy(further), dealt), "nodes")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -273,7 +273,7 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("rid", "root", "n_links"), out, strict=True)})
 
-    return common.spread(dealt, "cluster", "i", "j").mapInArrow(run, "rid long, root long, n_links long")
+    return common.spread(dealt, "cluster", "i", "j").mapInArrow(common.tidy(run), "rid long, root long, n_links long")
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:

@@ -24,7 +24,7 @@ from . import common
 
 SPACE = "▁"
 #: Distinct segments that a Python worker remembers; the cache starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 200_000
 #: Symbols of a segment from which on the agenda is a heap; a row of a matrix is scanned at each merge.
 LONG = 64
 _NONE = np.int32(2**31 - 1)
@@ -290,4 +290,4 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", keep: t
                 names = [*["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256", "n_differing"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)], *made], [*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, kept + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long")
+    return source.mapInArrow(common.tidy(run), kept + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long")

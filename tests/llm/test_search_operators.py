@@ -231,6 +231,22 @@ def test_join_of_odd_rows(odd):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6, 7] and kept.columns == odd.columns
 
 
+def test_workers_give_memory_back():
+    """A task's end returns freed memory; a worker that kept it would add up with later stages'."""
+    import psutil
+
+    def run(batches):
+        for b in batches:
+            pieces = [bytes(1000) for _ in range(100_000)]
+            rest = pieces[::1000]
+            del pieces
+            yield b.slice(0, len(rest))
+
+    before = psutil.Process().memory_info().rss
+    assert sum(b.num_rows for b in common.tidy(run)(iter([pa.RecordBatch.from_pydict({"x": range(200)})]))) == 100
+    assert psutil.Process().memory_info().rss - before < 40_000_000
+
+
 # ---------------------------------------------------------------- substrings
 
 
