@@ -279,7 +279,10 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """As ``near_duplicates``, with the text's key (k1, k2) and the class's own key (class_key)."""
     every, reps = representatives(df, text, doc_id)
-    candidates = common.components(chosen_path_edges(reps, threshold, recall, depth))
+    linked: list[DataFrame] = []
+    with common.scratch(linked):
+        linked.append(common.components(chosen_path_edges(reps, threshold, recall, depth)))
+    candidates = linked[0]
     sizes = candidates.groupBy(F.col("label")).agg(F.count(F.lit(1)).alias("size"))
     clustered = candidates.join(sizes, "label").select(F.col("v").alias("rid"), F.col("label").alias("cluster"), "size")
     chosen = clustered.join(reps.select("rid", "id", "k1", "k2"), "rid").withColumnRenamed("id", "rep")
@@ -330,7 +333,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, its least doc_id (nulls last; of equal ids the least text key)."""
-    found = common.stage(classes(df, text, doc_id, threshold), "classes")
+    made: list[DataFrame] = []
+    with common.scratch(made):
+        made.append(common.stage(classes(df, text, doc_id, threshold), "classes"))
+    common.release(df.sparkSession)
+    found = made[0]
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "k1", "k2")
     kept = found.groupBy("class_key").agg(F.min(order).alias("best")).select("best.id", F.col("best.k1").alias("q1"), F.col("best.k2").alias("q2"))
     first, second = common.text_key(df[text])

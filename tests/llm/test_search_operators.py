@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -617,3 +618,18 @@ def test_pipeline_decisions(spark, tmp_path, sf):
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(folder))
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5, 10]
+
+
+def test_staged_tables_go(spark, sf):
+    """What a stage of the pipeline has read for the last time does not stay on the disk of the next."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = jaccard_join.one_of_each(docs)
+    assert one.count()
+    mid = set(folder.iterdir())
+    assert sorted(p.name.split("-")[0] for p in mid - before) == ["classes"]
+    found = substrings.find(docs)
+    assert found.count()
+    assert {p.name.split("-")[0] for p in set(folder.iterdir()) - mid} == {"passages"}
+    assert one.count() and found.count()
