@@ -33,10 +33,10 @@ from . import common
 MAGIC = b"SLTK1\0"
 #: Ids in a block, unless a single document has more.
 BLOCK_IDS = 1 << 18
-#: Distinct segments that a Python worker remembers; the cache starts anew beyond that.
-CACHE = 1_000_000
-#: UTF-8 bytes encoded at once: more of them share their segments.
-SLICE = 8_000_000
+#: New segments after which a Python worker forgets those it has not met since as many before.
+CACHE = 250_000
+#: UTF-8 bytes encoded at once: more of them share their segments, and take more memory.
+SLICE = 4_000_000
 #: White space besides space and newline, and \\x01, as a regular expression's class.
 _STRANGE = r"\x01\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _TEXT = partial(pa.scalar, type=pa.large_string())
@@ -163,7 +163,9 @@ class Encoder:
         self.splits = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space") and not told.get("normalizer")
         added = "".join("|" + re.escape(t["content"]) for t in told.get("added_tokens", []))
         self.whole = f"^[ \n]|[ \n]$|[ \n][ \n]|[{_STRANGE}]{added}"
+        #: Ids of each segment met, and of those met before the last change of caches.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         #: Ids whose first byte is a space or a newline: where the segments of a joined text begin.
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
@@ -201,19 +203,18 @@ class Encoder:
         segments = parts.flatten().dictionary_encode()
         keys = segments.dictionary.to_pylist()
         if len(self.cache) > CACHE:
-            self.cache = {}
+            self.older, self.cache = self.cache, {}
         new = [k for k in keys if k not in self.cache]
-        if new:
-            self._learn(new)
-        known = [self.cache[k] for k in keys]
-        sizes = np.array([len(k) for k in known], dtype=np.int64) // 4
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        which = segments.indices.to_numpy()
-        ends = np.cumsum(sizes[which])
-        shift = (np.cumsum(sizes) - sizes)[which] - ends + sizes[which]
-        ids = flat[np.repeat(shift, sizes[which]) + np.arange(ends[-1] if len(ends) else 0)]
+        met = {k: self.older[k] for k in new if k in self.older}
+        self.cache.update(met)
+        if len(new) > len(met):
+            self._learn([k for k in new if k not in met])
+        known = pa.array([self.cache[k] for k in keys], pa.large_binary()).take(segments.indices)
+        bounds = np.frombuffer(known.buffers()[1], dtype=np.int64)[: len(known) + 1]
+        data = known.buffers()[2]
+        ids = np.frombuffer(data, dtype="<u4", count=(bounds[-1] - bounds[0]) // 4, offset=bounds[0]) if len(known) and bounds[-1] else np.zeros(0, "<u4")
         offsets = parts.offsets.to_numpy()
-        at = np.r_[0, ends][offsets - offsets[0]]
+        at = (bounds // 4)[offsets - offsets[0]]
         if own:
             pieces = [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
             ids, at = np.concatenate(pieces), np.r_[0, np.cumsum([len(x) for x in pieces])]
@@ -281,7 +282,7 @@ def write_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int | N
             out.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_ids": [total]})
 
-    return common.stage(placed.mapInArrow(run, "file_no int, path string, n_docs long, n_ids long"), "manifest")
+    return common.stage(placed.mapInArrow(common.tidy(run), "file_no int, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -316,4 +317,4 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                         )
 
     spread = files.repartition(common.shuffle_partitions(manifest.sparkSession), "file_no")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

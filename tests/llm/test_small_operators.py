@@ -329,3 +329,17 @@ def test_ids_that_do_not_fit():
 
 def test_vocabulary_of_the_tokenizer():
     assert token_files.vocabulary_size(open(queries.tokenizer_file("byte_bpe_50k.json")).read()) == 50257
+
+
+def test_frequent_segments_stay_encoded(monkeypatch):
+    """What a worker meets again and again is encoded once, while rare segments are forgotten."""
+    monkeypatch.setattr(token_files, "CACHE", 300)
+    e = token_files.Encoder(open(queries.tokenizer_file("byte_bpe_50k.json")).read())
+    learned, learn = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda keys: (learned.extend(keys), learn(keys)))
+    for n in range(50):
+        text = " ".join(["frequent", *(f"rare{n}x{k}" for k in range(100)), "frequent"])
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == e.library.encode(text, add_special_tokens=False).ids
+        assert len(e.cache) + len(e.older) <= 2 * (300 + 102)
+    assert learned.count("frequent") == 1 and learned.count("rare49x7") == 1
