@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 SPACE = "▁"
-#: Distinct segments that a Python worker remembers; the cache starts anew beyond that.
+#: New segments after which a Python worker forgets those it has not met since as many before.
 CACHE = 200_000
 #: Symbols of a segment from which on the agenda is a heap; a row of a matrix is scanned at each merge.
 LONG = 64
@@ -60,9 +60,11 @@ class Codec:
         self.pair: dict[int, int] = {}
         self.ranks = self.rank.tolist()
         self.names = [str(i) for i in range(n)]
-        #: Ids (decimals joined by spaces) and decoded form of each segment.
-        self.cache: dict[str, tuple[str, str]] = {}
-        #: Segments for which the library gave something else.
+        #: Ids (decimals joined by spaces) of each segment met, and of those met before the last change of caches.
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Decoded forms that differ from the segment itself, and segments for which the library gave something else.
+        self.decoded: dict[str, str] = {}
         self.odd: set[str] = set()
 
     # ---------------------------------------------------------------- encoding
@@ -190,7 +192,8 @@ class Codec:
                     found[i], decoded[i] = x, text
                     self.odd.add(k)
         names = self.names
-        self.cache.update(zip(keys, zip([" ".join([names[i] for i in x]) for x in found], decoded, strict=True), strict=True))
+        self.cache.update(zip(keys, [" ".join([names[i] for i in x]) for x in found], strict=True))
+        self.decoded.update((k, x) for k, x in zip(keys, decoded, strict=True) if x != (k if k[:1] == "\n" else " " + k))
 
     def spelled(self, ids: list[int]) -> str:
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -213,15 +216,22 @@ class Codec:
             return [self._whole(t) if t else ("", "", 0) for t in texts]
         parts = [self.segments(t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
-            self.cache, self.odd = {}, set()
-        new = set().union(*parts).difference(self.cache) if parts else set()
-        if new:
-            self._learn(list(new))
+            self.older, self.cache = self.cache, {}
+            self.decoded = {k: x for k, x in self.decoded.items() if k in self.older}
+            self.odd.intersection_update(self.older)
+        new = set().union(*parts).difference(self.cache)
+        met = {k: self.older[k] for k in new if k in self.older}
+        self.cache.update(met)
+        if len(new) > len(met):
+            self._learn([k for k in new if k not in met])
+        ids, decoded, odd = self.cache, self.decoded, self.odd
         out = []
         for p in parts:
-            known = [self.cache[k] for k in p]
-            text = "".join([x[1] for x in known])
-            out.append((" ".join([x[0] for x in known]), text[1:] if text[:1] == " " else text, sum(k in self.odd for k in p) if self.odd else 0))
+            if decoded and not decoded.keys().isdisjoint(p):
+                text = "".join([decoded[k] if k in decoded else k if k[:1] == "\n" else " " + k for k in p])
+            else:  # each segment as it stands; only a line's has no space before it
+                text = " " + " ".join(p).replace(" \n", "\n") if p else ""
+            out.append((" ".join([ids[k] for k in p]), text[1:] if text[:1] == " " else text, sum(k in odd for k in p) if odd else 0))
         return out
 
     def _whole(self, text: str) -> tuple[str, str, int]:

@@ -343,3 +343,16 @@ def test_frequent_segments_stay_encoded(monkeypatch):
         assert ids.tolist() == e.library.encode(text, add_special_tokens=False).ids
         assert len(e.cache) + len(e.older) <= 2 * (300 + 102)
     assert learned.count("frequent") == 1 and learned.count("rare49x7") == 1
+
+
+def test_frequent_pieces_stay_encoded(monkeypatch, model):
+    monkeypatch.setattr(sentencepieces, "CACHE", 300)
+    codec = sentencepieces.Codec(open(model, "rb").read())
+    learned, learn = [], codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda keys: (learned.extend(keys), learn(keys)))
+    for n in range(50):
+        text = " ".join(["frequent", "ﬁ\x00", *(f"rare{n}x{k}" for k in range(100)), "frequent  \n\nline \n"])
+        ids = codec.sp.encode(text)
+        assert codec.round_trip([text]) == [(" ".join(map(str, ids)), codec.sp.decode(ids), 0)]
+        assert len(codec.cache) + len(codec.older) <= 2 * (300 + 110)
+    assert learned.count("frequent") == 1 and learned.count("rare49x7") == 1
