@@ -400,6 +400,31 @@ def test_holder_behind_many(spark):
     assert found == {(i + n, i + n - 1) for i in range(0, 20 * n, n)}
 
 
+def test_holders_are_not_all_listed(spark):
+    """Copies behind unlike versions each name a holder, not all lesser ones: rows grow with the copies, not their square."""
+    rng, texts, versions, copies = random.Random(36), [], 7, 12
+    copy = words(rng, 55).split()
+    for _ in range(versions):
+        near = list(copy)
+        near[18], near[36] = words(rng, 1), words(rng, 1)
+        texts.append(" ".join(near))
+    texts += [f"{words(rng, 30)} {' '.join(copy)} {words(rng, 30)}" for _ in range(copies)]
+    found = substrings.find(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
+    assert {r.doc_id for r in found} == set(range(versions + 2, versions + copies + 1))
+    assert len(found) <= 2 * copies
+
+
+@pytest.mark.parametrize("least", [1, 7, 46])
+def test_different_shingles_of_runs(least):
+    rng = np.random.default_rng(least)
+    values, held = rng.integers(0, 20, 90).astype(np.uint64), rng.random((20, 3)) < 0.5
+    hits = held[values.astype(int)].astype(np.uint8)
+    runs = [set(values[k : k + least].tolist()) for k in range(len(values) - least + 1)]
+    before = substrings._before(values)
+    assert substrings._different(hits, before, least).tolist() == [[sum(held[int(x), c] for x in run) for c in range(3)] for run in runs]
+    assert substrings._different(None, before, least)[:, 0].tolist() == [len(run) for run in runs]
+
+
 def test_cut_of_repeated_ids(spark):
     rng = random.Random(35)
     p, other = words(rng, 60), words(rng, 100)
